@@ -56,13 +56,13 @@ def numbered(docs: DataFrame, columns: list[str], path: str, key: str = "doc_id"
 def join_weighted(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
     """Join ``rows`` to ``groups`` (one row per key, ``weight`` = rows that have the key) without a hot task.
 
-    At most ``parts`` keys can hold ``total / parts`` rows each: those are broadcast, the rest is shuffled.
-    ``groups`` should be a staged table, since it is read twice.  ``how`` is inner, left or left_semi.
+    At most ``parts`` keys can hold ``total / parts`` rows each: those are broadcast, the rest is shuffled at every
+    size.  ``groups`` should be a staged table, since it is read twice.  ``how`` is inner, left or left_semi.
     """
     least = max(2, total // parts)
     heavy = F.broadcast(groups.where(F.col(weight) >= least))
     light = groups.where(F.col(weight) < least)
-    return rows.join(heavy, keys, "left_semi" if how == "left_semi" else "inner").unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how))
+    return rows.join(heavy, keys, "left_semi" if how == "left_semi" else "inner").unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light.hint("merge"), keys, how))
 
 
 def first_of(*cols: str | Column) -> Column:
