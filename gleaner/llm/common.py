@@ -34,8 +34,12 @@ def clean_up(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: the lineage is cut and a lost executor costs nothing."""
+    """Write ``df`` as Parquet and read it back: the lineage is cut and a lost executor costs nothing.
+
+    The driver's garbage is collected then, so that Spark's cleaner removes the shuffle files that led to the table.
+    """
     df.write.options(**options).mode("overwrite").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
