@@ -246,9 +246,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, element_at(a, -1).length + s.length as length)))
         else concat(a, array(struct(s.start as start, s.length as length))) end)"""
     )
-    spans = spans.select("row", F.explode(joined).alias("__span"))
+    spans = spans.select(F.col("row").alias("__row"), F.explode(joined).alias("__span"))
     own = docs.columns
-    out = mixed.rows.hint("merge").join(spans, F.col("__row") == F.col("row"))
+    out = mixed.rows.hint("merge").join(spans, "__row")
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     text = F.when(F.col("__span.length") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("__span.start") + 1).cast("int"), F.col("__span.length").cast("int")), " "))
     out = out.withColumn("text", text)

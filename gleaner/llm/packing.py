@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def pack_pieces(pieces: DataFrame, work: str, tokens: int = 4096, docs: int | No
     def packer(level: int):
         def run(table: pa.Table) -> pa.Table:
             n, g = table.column("length").to_numpy(), table.column("__group")[0].as_py()
-            order = pa.compute.sort_indices(table, [(c, "ascending") for c in columns])
+            order = pc.sort_indices(table, [(c, "ascending") for c in columns])
             table, n = table.take(order), n[order.to_numpy()]
             bins, offset = pack(n, tokens, docs, attention, rule)
             fill = np.bincount(bins, n) / tokens
