@@ -29,8 +29,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def clean_up(spark: SparkSession) -> None:
     """Delete every folder that ``work_dir`` has given out; results that still read them must be written before."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(spark, _made.pop())
 
 
 def staged(df: DataFrame, path: str, **options: str) -> DataFrame:
@@ -43,6 +42,13 @@ def staged(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame, columns: list[str], path: str, key: str = "doc_id") -> DataFrame:
     """``columns`` of ``docs`` and a unique long ``row``.
 

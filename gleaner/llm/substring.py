@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import first_of, join_weighted, numbered, staged, work_dir
+from gleaner.llm.common import discard, first_of, join_weighted, numbered, staged, work_dir
 from gleaner.llm.words import binary, chunks, grams, hashes, scan
 
 ANCHOR = 5
@@ -97,46 +97,86 @@ def _spans(size: int):
 
 
 RUNS = "row long, start long, n long, first_row long, first_start long"
+#: Parts of an anchor that makes a thousandth of all places.
+SALTS = 32
+FIRSTS = RUNS + ", bucket long, w array<long>, rows array<long>, docs array<long>, starts array<long>"
+_RUN, _PACK = RUNS.replace(" long", "").split(", "), ["w", "rows", "docs", "starts"]
 
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted spans of whole anchors -> runs of windows whose first place is elsewhere, with that place.
+def _runs(r: np.ndarray, s: np.ndarray, fr: np.ndarray, fs: np.ndarray) -> list[np.ndarray]:
+    """Consecutive windows whose first places are consecutive, as RUNS."""
+    if not len(r):
+        return [r, s, s, fr, fs]
+    new = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (fr[1:] != fr[:-1]) | (fs[1:] != fs[:-1] + 1)
+    cut = np.concatenate(([0], np.flatnonzero(new) + 1))
+    return [r[cut], s[cut], np.diff(np.concatenate((cut, [len(r)]))), fr[cut], fs[cut]]
 
-    Rows come sorted by anchor, so that a window's places stand together, least document and start first.  Only the
-    rows of the last anchor are held back between batches.
+
+def _firsts(buckets: int):
+    """Sorted spans of whole keys -> runs of windows whose first place in the key is elsewhere, with that place.
+
+    Rows come sorted by key, so that a window's places stand together, least document and start first.  Only the
+    rows of the last key are held back between batches.  A hot anchor is several keys: the first places found in each
+    are passed on, packed by bucket of the window's hash, to ``_merge_firsts``.
     """
 
-    def runs(t: pa.Table) -> pa.RecordBatch:
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         lists = t.column("windows").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
         w = lists.flatten().to_numpy()
         of = np.repeat(np.arange(len(t)), size)
         inside = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        row = t.column("row").to_numpy()[of]
-        start = t.column("start").to_numpy()[of] + inside
-        _, at, inv = np.unique(w, return_index=True, return_inverse=True)
-        first = at[inv]
+        key, row = t.column("key").to_numpy()[of], t.column("row").to_numpy()[of]
+        start, hot = t.column("start").to_numpy()[of] + inside, t.column("hot").to_numpy(zero_copy_only=False)[of]
+        order = np.lexsort((np.arange(len(w)), w, key))
+        new = np.concatenate(([True], (w[order][1:] != w[order][:-1]) | (key[order][1:] != key[order][:-1]))) if len(w) else np.zeros(0, bool)
+        first = np.empty(len(w), np.int64)
+        first[order] = order[new][np.cumsum(new) - 1] if len(w) else order
         late = np.flatnonzero(first != np.arange(len(w)))
-        r, s, fr, fs = row[late], start[late], row[first[late]], start[first[late]]
-        if not len(late):
-            cut = np.zeros(0, np.int64)
-        else:
-            new = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (fr[1:] != fr[:-1]) | (fs[1:] != fs[:-1] + 1)
-            cut = np.concatenate(([0], np.flatnonzero(new) + 1))
-        n = np.diff(np.concatenate((cut, [len(late)])))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (r[cut], s[cut], n, fr[cut], fs[cut])], names=["row", "start", "n", "first_row", "first_start"])
-
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t])
-        a = t.column("anchor").to_numpy()
-        cut = int(np.searchsorted(a != a[-1], False)) if len(a) and a[0] == a[-1] else int(np.flatnonzero(a != a[-1])[-1]) + 1 if len(a) else 0
-        if cut:
-            yield runs(t.slice(0, cut).combine_chunks())
-        held = t.slice(cut)
-    if held is not None and len(held):
-        yield runs(held.combine_chunks())
+        cols = _runs(row[late], start[late], row[first[late]], start[first[late]])
+        n = len(cols[0])
+        none = [pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64())) for _ in _PACK]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *none], names=[*_RUN, "bucket", *_PACK])
+        own = np.flatnonzero(hot & (first == np.arange(len(w))))
+        if len(own):
+            bucket = w[own] % buckets
+            own = own[np.argsort(bucket, kind="stable")]
+            found, count = np.unique(bucket, return_counts=True)
+            cut = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+            docs = t.column("doc_id").combine_chunks().take(pa.array(of[own]))
+            packed = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(w[own]), pa.array(row[own]), docs, pa.array(start[own]))]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(found), pa.int64())] * 5, pa.array(found), *packed], names=[*_RUN, "bucket", *_PACK])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            key = t.column("key").to_numpy()
+            other = np.flatnonzero(key != key[-1]) if len(key) else key
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from work(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut)
+        if held is not None and len(held):
+            yield from work(held.combine_chunks())
+
+    return run
+
+
+def _merge_firsts(table: pa.Table) -> pa.Table:
+    """The first places that the keys of hot anchors found, of one bucket of windows: runs of those that another precedes."""
+    w, row, start = (np.concatenate([x.values.to_numpy() if x.values is not None else np.zeros(0, np.int64) for x in table.column(c)]) for c in ("w", "rows", "starts"))
+    docs = pa.concat_arrays([x.values for x in table.column("docs")])
+    none, doc = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
+    order = np.lexsort((start, row, doc, none, w))
+    new = np.concatenate(([True], w[order][1:] != w[order][:-1]))
+    first = order[new][np.cumsum(new) - 1]
+    late = order[~new]
+    first = first[~new]
+    back = np.lexsort((start[late], row[late]))
+    cols = _runs(row[late][back], start[late][back], row[first][back], start[first][back])
+    return pa.table([pa.array(x, pa.int64()) for x in cols], names=_RUN)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +277,17 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     wanted = join_weighted(seen, shared, ["anchor"], "m", places, "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
     some = staged(texts.hint("merge").join(wanted, "row"), f"{work}/texts-some", compression="zstd")
 
-    # the first place of each repeated window
-    spans = staged(some.select("row", "doc_id", "text", "wanted").mapInArrow(_spans(size), SPANS), f"{work}/spans")
-    hot = F.broadcast(shared.where(F.col("m") >= max(2, places // 4000)).select("anchor"))  # at most 4000
+    # an earlier place of each repeated window; a hot anchor (at most 1000 are) is dealt to several keys, whose finds
+    # then meet by window
+    hot = F.broadcast(shared.where(F.col("m") >= max(2, places // 1000)).select("anchor", F.lit(True).alias("hot")))
     order = [F.asc_nulls_last("doc_id"), F.asc("row"), F.asc("start")]
-    light = spans.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", *order).mapInArrow(_firsts, RUNS)
-    windows = spans.join(hot, "anchor", "left_semi").select("row", "doc_id", "start", F.posexplode("windows").alias("i", "w")).select("row", "doc_id", (F.col("start") + F.col("i")).alias("start"), "w")
-    often = windows.groupBy("w").agg(first_of("doc_id", "row", "start").alias("first"), F.count("*").alias("m")).where("m > 1")
-    often = staged(often.select("w", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"), "m"), f"{work}/often")
-    heavy = join_weighted(windows, often, ["w"], "m", places).where("row <> first_row or start <> first_start").select("row", "start", F.lit(1).cast("long").alias("n"), "first_row", "first_start")
+    buckets = max(64, places // 100_000)
+    spans = some.select("row", "doc_id", "text", "wanted").mapInArrow(_spans(size), SPANS).join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spans = spans.select(F.when(F.col("hot"), F.xxhash64("anchor", F.pmod(F.xxhash64("row"), F.lit(SALTS)))).otherwise(F.col("anchor")).alias("key"), "row", "doc_id", "start", "windows", "hot")
+    level = staged(spans.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_firsts(buckets), FIRSTS), f"{work}/firsts")
+    discard(spark, f"{work}/anchors", f"{work}/shared")
+    light = level.where("row is not null").select(*_RUN)
+    heavy = level.where("bucket is not null").select("bucket", *_PACK).groupBy("bucket").applyInArrow(_merge_firsts, RUNS)
     runs = light.unionByName(heavy).repartition("row").sortWithinPartitions("row", "first_row", F.col("start") - F.col("first_start"), "start").mapInArrow(_merge, RUNS)
     shard = F.pmod(F.xxhash64("row"), F.lit(max(1, total // SHARD)))
     runs = staged(runs.withColumn("shard", shard), f"{work}/runs")
