@@ -55,6 +55,7 @@ def superminhash(elements: np.ndarray, sizes: np.ndarray, lanes: int = LANES) ->
                 act = act[open_[of[act]]]
             v = np.where(np.isinf(h), 0.0, h).view(np.uint64)
             out[lo:hi] = (mix(v + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(48)).astype(np.uint16).reshape(-1, lanes)
+            out[lo:hi][sizes[lo:hi] == 0] = 0
         lo = hi
     return out
 
