@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ from gleaner.llm.labelled import chance, logistic, remainder, sample
 EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16, 64
 #: Least chi-square of a term with the label, and the terms kept at most.
 CHI, TERMS = 40.0, 4096
+#: Hashes of the first pass over the examples' terms.
+HASHED = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 #: Entries of a worker's caches; they are emptied when full, which changes no result.
 CACHE = 400_000
@@ -27,6 +30,14 @@ def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in range(4, 8) if len(word) >= n)]
 
 
+def _chi(a, b, n: np.ndarray):
+    """Chi-square of being in ``a`` of n[1] and ``b`` of n[0] examples; 0 where there are fewer than five."""
+    both = np.asarray(a, float) + b
+    e = np.maximum(1e-9, both * n[1] / n.sum())
+    rest = np.maximum(1e-9, both - e)
+    return np.where(both >= 5, (a - e) ** 2 * (1 / e + 1 / rest) * n.sum() / np.maximum(1.0, n.sum() - both), 0.0)
+
+
 class Index:
     """TF-IDF vectors of labelled examples over terms that go with the label; scores texts by their nearest examples.
 
@@ -40,28 +51,17 @@ class Index:
         y = np.array([e[1] for e in examples], int)
         n = np.bincount(y, minlength=2).astype(float)
         self.weight = np.array([max(1, many.get(i, 0)) / max(1.0, n[i]) for i in (0, 1)])  # an example stands for so many rows
-        bags = [self._bag(e[2]) for e in examples]
-        seen = [Counter(), Counter()]
-        for bag, label in zip(bags, y.tolist(), strict=True):
-            seen[label].update(bag.keys())
+        seen = self._seen(examples, n)
         self.terms: dict[str, int] = {}
         if n.min() > 0:
-            scored = []
-            for t in set(seen[0]) | set(seen[1]):
-                a, b = seen[1][t], seen[0][t]
-                both = a + b
-                if both >= 5:
-                    e = both * n[1] / n.sum()
-                    chi = (a - e) ** 2 * (1 / e + 1 / (both - e)) * n.sum() / max(1.0, n.sum() - both)
-                    if chi >= CHI:
-                        scored.append((-chi, t))
+            scored = [(-c, t) for t in set(seen[0]) | set(seen[1]) if (c := float(_chi(seen[1][t], seen[0][t], n))) >= CHI]
             self.terms = {t: i for i, (_, t) in enumerate(sorted(scored)[:TERMS])}
         df = np.zeros(len(self.terms))
         for t, i in self.terms.items():
             df[i] = seen[0][t] + seen[1][t]
         self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
         # examples of equal main term lie together, so that blocks differ in their bounds
-        vectors = [self._vector(tuple(sorted((self.terms[t], c) for t, c in bag.items() if t in self.terms))) for bag in bags]
+        vectors = [self._vector(self._counts(e[2])) for e in examples]
         order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), examples[i][0]))
         empty = [i for i, v in enumerate(vectors) if not len(v[0])]
         self.ids, self.y = np.array([examples[i][0] for i in order], np.int64), y[order] if order else np.zeros(0, int)
@@ -82,12 +82,39 @@ class Index:
         prior = float((self.weight[y] * y).sum() / total) if len(y) else 0.0
         self.nothing = float(((w * y[empty]).sum() + prior) / (w.sum() + 1)) if empty else prior
 
-    def _bag(self, text: str) -> Counter:
-        out: Counter = Counter()
-        for w, c in Counter(_WORD.findall(text.lower())).items():
-            for t in word_terms(w):
-                out[t] += c
-        return out
+    @staticmethod
+    def _seen(examples: list[tuple[int, int, str]], n: np.ndarray) -> list[Counter]:
+        """In how many examples of either label each term is that may go with the label.
+
+        A first pass counts hashes of terms in arrays of fixed size; the second counts, by name, only the terms whose hash
+        reaches half the least chi-square, so that rare words do not fill the driver's memory.
+        """
+        rough = np.zeros((2, HASHED), np.int32)
+
+        def terms(text: str) -> set[str]:
+            return {t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)}
+
+        for _, y, text in examples:
+            rough[y, np.unique(np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHED for t in terms(text)], np.int64))] += 1
+        keep = (_chi(rough[1], rough[0], n) >= CHI / 2) if n.min() > 0 else np.zeros(HASHED, bool)
+        seen = [Counter(), Counter()]
+        for _, y, text in examples:
+            seen[y].update(t for t in terms(text) if keep[zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHED])
+        return seen
+
+    def _counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
+        """(term, how often) of the index's terms in a text."""
+        counts: dict[int, int] = {}
+        known, terms = self.known, self.terms
+        for w in _WORD.findall(text.lower()) if text else ():
+            got = known.get(w)
+            if got is None:
+                got = known[w] = tuple(i for i in map(terms.get, word_terms(w)) if i is not None)
+            for i in got:
+                counts[i] = counts.get(i, 0) + 1
+        if len(known) > CACHE:
+            known.clear()
+        return tuple(sorted(counts.items()))
 
     def _vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         t, c = np.array([i for i, _ in counts], int), np.array([c for _, c in counts], float)
@@ -113,6 +140,9 @@ class Index:
             best_at, best = at[order], s[order]
         return best_at, best
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}, "cache": {}}
+
     def _vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """The share of toxic among the neighbours, each weighing the less the farther it is, and for the rows it stands for."""
         if not len(at):
@@ -122,17 +152,7 @@ class Index:
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Chance that the label is 1, and the nearest three examples with their cosines."""
-        counts: dict[int, int] = {}
-        known, terms = self.known, self.terms
-        for w in _WORD.findall(text.lower()) if text else ():
-            got = known.get(w)
-            if got is None:
-                got = known[w] = tuple(i for i in map(terms.get, word_terms(w)) if i is not None)
-            for i in got:
-                counts[i] = counts.get(i, 0) + 1
-        if len(known) > CACHE:
-            known.clear()
-        key = tuple(sorted(counts.items()))
+        key = self._counts(text)
         if not key or self.line is None:
             return self.nothing, [], []
         if (found := self.cache.get(key)) is None:

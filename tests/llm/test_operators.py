@@ -254,8 +254,7 @@ def test_nearest_examples_are_exact():
     for (term, _), (at, w) in index.postings.items():
         index_all[at, term] = w
     for t in texts[:40]:
-        bag = index._bag(t)
-        v = index._vector(tuple(sorted((index.terms[x], c) for x, c in bag.items() if x in index.terms)))
+        v = index._vector(index._counts(t))
         full = index_all[:, v[0]] @ v[1]
         want = np.sort(full[full > 0])[::-1][:5]
         assert np.allclose(index._near(v)[1], want)
