@@ -16,8 +16,8 @@ from gleaner.llm.labelled import chance, logistic, remainder, sample
 
 #: Labelled examples of either label (the bound of the classifier's sample), neighbours that vote, examples of a block.
 EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16, 64
-#: Least chi-square of a term with the label, and the terms kept at most.
-CHI, TERMS = 40.0, 4096
+#: Least chi-square of a term with the label, least share of one label among its examples, and the terms kept at most.
+CHI, SHARE, TERMS = 40.0, 0.9, 4096
 #: Hashes of the first pass over the examples' terms.
 HASHED = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,10 +51,13 @@ class Index:
         y = np.array([e[1] for e in examples], int)
         n = np.bincount(y, minlength=2).astype(float)
         self.weight = np.array([max(1, many.get(i, 0)) / max(1.0, n[i]) for i in (0, 1)])  # an example stands for so many rows
-        seen = self._seen(examples, n)
+        # copies and near copies, whose words of least hash agree, count once, or every word of theirs would go with the label
+        once = {(e[1], *sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(e[2].lower())})[:3]): e for e in examples[::-1]}
+        single = np.bincount([e[1] for e in once.values()], minlength=2).astype(float)
+        seen = self._seen([*once.values()], single)
         self.terms: dict[str, int] = {}
         if n.min() > 0:
-            scored = [(-c, t) for t in set(seen[0]) | set(seen[1]) if (c := float(_chi(seen[1][t], seen[0][t], n))) >= CHI]
+            scored = [(-c, t) for t in set(seen[0]) | set(seen[1]) if (c := float(_chi(seen[1][t], seen[0][t], single))) >= CHI and max(seen[1][t], seen[0][t]) >= SHARE * (seen[1][t] + seen[0][t])]
             self.terms = {t: i for i, (_, t) in enumerate(sorted(scored)[:TERMS])}
         df = np.zeros(len(self.terms))
         for t, i in self.terms.items():
