@@ -52,7 +52,7 @@ class Index:
         n = np.bincount(y, minlength=2).astype(float)
         self.weight = np.array([max(1, many.get(i, 0)) / max(1.0, n[i]) for i in (0, 1)])  # an example stands for so many rows
         # copies and near copies, whose words of least hash agree, count once, or every word of theirs would go with the label
-        once = {(e[1], *sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(e[2].lower())})[:3]): e for e in examples[::-1]}
+        once = {(e[1], self._sketch(e[2])): e for e in examples[::-1]}
         single = np.bincount([e[1] for e in once.values()], minlength=2).astype(float)
         seen = self._seen([*once.values()], single)
         self.terms: dict[str, int] = {}
@@ -79,12 +79,20 @@ class Index:
         self.cache: dict[tuple, tuple] = {}
         # calibration: each example is judged by the others
         votes = np.array([self._vote(*self._near(vectors[i], skip=at)) for at, i in enumerate(order)])
-        self.line = logistic(votes[:, None], self.y.astype(float), self.weight[self.y]) if order and len(set(self.y.tolist())) == 2 else None
+        # one row of either label that its neighbours agree on is added, so that the line rises where all examples are alike
+        w = np.append(self.weight[self.y], [1.0, 1.0])
+        self.line = logistic(np.append(votes, [0.0, 1.0])[:, None], np.append(self.y, [0.0, 1.0]), w, ridge=1e-4) if order else None
         w = self.weight[y[empty]] if empty else np.zeros(0)
         total = self.weight[y].sum() if len(y) else 1.0
         prior = float((self.weight[y] * y).sum() / total) if len(y) else 0.0
         self.nothing = float(((w * y[empty]).sum() + prior) / (w.sum() + 1)) if empty else prior
 
+    @staticmethod
+    def _sketch(text: str) -> tuple | str:
+        """The three words of least hash; the text itself if it has fewer than eight different words."""
+        own = {zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(text.lower())}
+        return tuple(sorted(own)[:3]) if len(own) >= 8 else text
+
     @staticmethod
     def _seen(examples: list[tuple[int, int, str]], n: np.ndarray) -> list[Counter]:
         """In how many examples of either label each term is that may go with the label.
