@@ -21,8 +21,8 @@ CHI, SHARE, TERMS = 40.0, 0.9, 4096
 #: Hashes of the first pass over the examples' terms.
 HASHED = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
-#: Entries of a worker's caches; they are emptied when full, which changes no result.
-CACHE = 400_000
+#: Entries of a worker's caches; they are emptied when full and after each task, which changes no result.
+CACHE = 65_536
 
 
 def word_terms(word: str) -> list[str]:
@@ -151,6 +151,12 @@ class Index:
             best_at, best = at[order], s[order]
         return best_at, best
 
+    def forget(self) -> None:
+        """Give back a worker's caches, which would stand beside the next stage's memory: Spark keeps its workers."""
+        self.known.clear()
+        self.cache.clear()
+        pa.default_memory_pool().release_unused()
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "cache": {}}
 
@@ -180,9 +186,10 @@ def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            rows = [index.score(t) for t in b.column(1).to_pylist()]
+            rows = [index.score(t.as_py()) for t in b.column(1)]
             p, near, cos = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "similarity"])
+        index.forget()
 
     return run
 
@@ -210,8 +217,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([shared.value.score(t)[0] < least for t in text], pa.bool_()))
+            text = b.column(b.schema.get_field_index("text"))
+            yield b.filter(pa.array([shared.value.score(t.as_py())[0] < least for t in text], pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(run, schema)
 
