@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import first_of, join_weighted, numbered, staged, work_dir
+from gleaner.llm.common import first_of, give_back, join_weighted, numbered, staged, work_dir
 from gleaner.llm.components import components
 from gleaner.llm.words import binary, chunks, grams, hashes, mix, scan
 
@@ -95,6 +95,7 @@ def _sign(k: int):
                 ids = [b.column(i).slice(at, len(n)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([ids[0], ids[1].cast(pa.int64()), pa.array(n), pa.array(d[0]), pa.array(d[1]), lists], names=["row", "doc_id", "n_shingles", "d1", "d2", "sig"])
                 at += len(n)
+            give_back()
 
     return run
 

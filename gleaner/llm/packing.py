@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import staged, work_dir
+from gleaner.llm.common import give_back, staged, work_dir
 from gleaner.llm.tokens import default_path, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -78,6 +78,7 @@ def _pieces(content, end: int, size: int):
                 out += [(doc, k, s, min(size, len(x) - s), zlib.crc32(x[s : s + size].tobytes())) for k, s in enumerate(range(0, len(x), size))]
             cols = [*zip(*out, strict=True)] or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+        give_back()
 
     return run
 

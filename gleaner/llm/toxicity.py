@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import give_back
 from gleaner.llm.labelled import chance, logistic, remainder, sample
 
 #: Labelled examples of either label (the bound of the classifier's sample), neighbours that vote, examples of a block.
@@ -155,7 +156,7 @@ class Index:
         """Give back a worker's caches, which would stand beside the next stage's memory: Spark keeps its workers."""
         self.known.clear()
         self.cache.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "cache": {}}
