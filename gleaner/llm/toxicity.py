@@ -1,4 +1,4 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine through a block-max inverted index."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine through an inverted index over all their terms."""
 
 from __future__ import annotations
 
@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import give_back
 from gleaner.llm.labelled import chance, logistic, remainder, sample
 
-#: Labelled examples of either label (the bound of the classifier's sample), neighbours that vote, examples of a block.
-EXAMPLES, NEIGHBOURS, BLOCK = 4096, 16, 64
-#: Least chi-square of a term with the label, least share of one label among its examples, and the terms kept at most.
-CHI, SHARE, TERMS = 40.0, 0.9, 4096
-#: Hashes of the first pass over the examples' terms.
-HASHED = 1 << 22
+#: Labelled examples of either label (the bound of the classifier's sample), and neighbours that vote.
+EXAMPLES, NEIGHBOURS = 4096, 16
+#: Weight of a term that tells nothing of the label, and the log-likelihood ratio at which a term counts half of it.
+FLOOR, WEAK = 0.1, 10.0
+#: Search: weights in the table of common terms, texts multiplied with it at once, and what single precision may lose.
+TABLE, TEXTS, SLACK = 1 << 23, 64, 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
-#: Entries of a worker's caches; they are emptied when full and after each task, which changes no result.
+#: Words in a worker's cache, which is emptied when full and after each task; that changes no result.
 CACHE = 65_536
 
 
@@ -31,62 +31,101 @@ def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in range(4, 8) if len(word) >= n)]
 
 
-def _chi(a, b, n: np.ndarray):
-    """Chi-square of being in ``a`` of n[1] and ``b`` of n[0] examples; 0 where there are fewer than five."""
-    both = np.asarray(a, float) + b
-    e = np.maximum(1e-9, both * n[1] / n.sum())
-    rest = np.maximum(1e-9, both - e)
-    return np.where(both >= 5, (a - e) ** 2 * (1 / e + 1 / rest) * n.sum() / np.maximum(1.0, n.sum() - both), 0.0)
+def _tells(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What being in ``a`` of n[1] and ``b`` of n[0] examples tells of the label: the log-likelihood ratio, less for weak ones.
+
+    The label that has more of a term is counted one less: what a term tells of an example must come from another one.
+    """
+    if min(n) == 0:
+        return np.zeros(len(a))
+    share = n[1] / n.sum()
+    more = a >= share * (a + b)
+    a, b = np.maximum(0.0, a - more), np.maximum(0.0, b - ~more)
+    both = np.maximum(1.0, a + b)
+
+    def part(x, e):
+        return x * np.log(np.maximum(x, 1e-300) / e)
+
+    g = np.maximum(0.0, 2 * (part(a, both * share) + part(b, both * (1 - share))))
+    return g * g / (g + WEAK)
+
+
+class Postings:
+    """(example, weight) of every term, term after term; ``items`` gives them as of one block, 0."""
+
+    def __init__(self, first: np.ndarray, at: np.ndarray, weight: np.ndarray):
+        self.first, self.at, self.weight = first, at, weight
+
+    def add(self, t: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """What the terms ``t``, of weight ``w``, add to the cosine of each of n examples."""
+        size = self.first[t + 1] - self.first[t]
+        place = np.repeat(self.first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.at[place], np.repeat(w.astype(np.float32), size) * self.weight[place], n)
+
+    def items(self) -> Iterator[tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
+        for t, (lo, hi) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+            yield (t, 0), (self.at[lo:hi].astype(np.int64), self.weight[lo:hi])
 
 
 class Index:
-    """TF-IDF vectors of labelled examples over terms that go with the label; scores texts by their nearest examples.
+    """TF-IDF vectors of labelled examples over all their terms; scores texts by their nearest examples.
 
-    Postings are kept by block of examples with the largest weight of each term in the block.  A text's blocks are
-    visited from the highest bound down, until no bound can beat the k-th best similarity: the result is exactly the
-    k largest cosines (of equal ones, the first examples).
+    A term weighs its idf times ``FLOOR`` and what it tells of the label, so that words of one label lead and no word is
+    left out.  Terms are sorted 64-bit hashes; vectors are kept by term and by example.  Texts are
+    multiplied with a table of the commonest terms, the others' postings are added, and the examples that can be among
+    the nearest are compared in full: the result is exactly the k largest cosines (of equal ones, the first examples).
     """
 
     def __init__(self, examples: list[tuple[int, int, str]], many: dict[int, int], k: int = NEIGHBOURS):
-        self.k, self.known = k, {}
+        self.k, self.known, self.terms, self.common = k, {}, None, None
         y = np.array([e[1] for e in examples], int)
         n = np.bincount(y, minlength=2).astype(float)
         self.weight = np.array([max(1, many.get(i, 0)) / max(1.0, n[i]) for i in (0, 1)])  # an example stands for so many rows
         # copies and near copies, whose words of least hash agree, count once, or every word of theirs would go with the label
-        once = {(e[1], self._sketch(e[2])): e for e in examples[::-1]}
-        single = np.bincount([e[1] for e in once.values()], minlength=2).astype(float)
-        seen = self._seen([*once.values()], single)
-        self.terms: dict[str, int] = {}
-        if n.min() > 0:
-            scored = [(-c, t) for t in set(seen[0]) | set(seen[1]) if (c := float(_chi(seen[1][t], seen[0][t], single))) >= CHI and max(seen[1][t], seen[0][t]) >= SHARE * (seen[1][t] + seen[0][t])]
-            self.terms = {t: i for i, (_, t) in enumerate(sorted(scored)[:TERMS])}
-        df = np.zeros(len(self.terms))
-        for t, i in self.terms.items():
-            df[i] = seen[0][t] + seen[1][t]
-        self.idf = np.log((1 + len(examples)) / (1 + df)) + 1
-        # examples of equal main term lie together, so that blocks differ in their bounds
-        vectors = [self._vector(self._counts(e[2])) for e in examples]
-        order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), examples[i][0]))
-        empty = [i for i, v in enumerate(vectors) if not len(v[0])]
-        self.ids, self.y = np.array([examples[i][0] for i in order], np.int64), y[order] if order else np.zeros(0, int)
-        self.blocks = -(-len(order) // BLOCK)
-        self.bound = np.zeros((max(1, len(self.terms)), self.blocks), np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                lists.setdefault((int(t), at // BLOCK), []).append((at, float(w)))
-                self.bound[t, at // BLOCK] = max(self.bound[t, at // BLOCK], w)
-        self.postings = {key: (np.array([a for a, _ in v]), np.array([w for _, w in v])) for key, v in lists.items()}
-        self.cache: dict[tuple, tuple] = {}
+        once = np.zeros(len(examples), bool)
+        once[list({(e[1], self._sketch(e[2])): i for i, e in reversed([*enumerate(examples)])}.values())] = True
+        # arrays of the examples' terms are as narrow as can be and few at a time: the driver holds them
+        counted = [(t, c.astype(np.uint16)) for t, c in (self._counts(e[2]) for e in examples)]
+        size = np.array([len(t) for t, _ in counted], np.int64)
+        hashed = np.concatenate([t for t, _ in counted]) if examples else np.zeros(0, np.uint64)
+        tf = np.concatenate([c for _, c in counted]) if examples else np.zeros(0, np.uint16)
+        del counted
+        self.known.clear()
+        self.terms = np.unique(hashed)
+        first = np.concatenate(([0], np.cumsum(size)))
+        ids = np.empty(len(hashed), np.int32)
+        seen = np.zeros((2, len(self.terms)), np.int64)
+        df = np.zeros(len(self.terms), np.int64)
+        for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            ids[lo:hi] = np.searchsorted(self.terms, hashed[lo:hi])
+            df[ids[lo:hi]] += 1  # an example names a term once
+            if once[i]:
+                seen[y[i], ids[lo:hi]] += 1
+        del hashed
+        self.idf = (np.log((1 + len(examples)) / (1 + df)) + 1) * (FLOOR + _tells(seen[1], seen[0], np.bincount(y[once], minlength=2)))
+        w = np.empty(len(ids), np.float32)
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            w[lo:hi] = self._vector((ids[lo:hi], tf[lo:hi].astype(float)))[1]
+        del tf, seen
+        full = np.flatnonzero(size)  # examples without a word are near nothing
+        self.ids, self.y = np.array([examples[i][0] for i in full], np.int64), y[full]
+        self.first, self.of, self.by_example = np.append(first[full], first[-1]), ids, w
+        at = np.repeat(np.arange(len(full), dtype=np.uint16 if len(full) < 1 << 16 else np.int32), size[full])
+        order = np.argsort(ids, kind="stable")
+        self.postings = Postings(np.concatenate(([0], np.cumsum(df))), at[order], w[order])
+        del order, at
         # calibration: each example is judged by the others
-        votes = np.array([self._vote(*self._near(vectors[i], skip=at)) for at, i in enumerate(order)])
+        rows = [(ids[first[i] : first[i + 1]], w[first[i] : first[i + 1]]) for i in full.tolist()]
+        votes = np.array([self._vote(*x) for x in self._nearest(rows, [*range(len(rows))])])
+        self.common = None
         # one row of either label that its neighbours agree on is added, so that the line rises where all examples are alike
         w = np.append(self.weight[self.y], [1.0, 1.0])
-        self.line = logistic(np.append(votes, [0.0, 1.0])[:, None], np.append(self.y, [0.0, 1.0]), w, ridge=1e-4) if order else None
-        w = self.weight[y[empty]] if empty else np.zeros(0)
+        self.line = logistic(np.append(votes, [0.0, 1.0])[:, None], np.append(self.y, [0.0, 1.0]), w, ridge=1e-4) if len(full) and n.min() > 0 else None
+        empty = np.flatnonzero(size == 0)
+        w = self.weight[y[empty]]
         total = self.weight[y].sum() if len(y) else 1.0
         prior = float((self.weight[y] * y).sum() / total) if len(y) else 0.0
-        self.nothing = float(((w * y[empty]).sum() + prior) / (w.sum() + 1)) if empty else prior
+        self.nothing = float(((w * y[empty]).sum() + prior) / (w.sum() + 1)) if len(empty) else prior
 
     @staticmethod
     def _sketch(text: str) -> tuple | str:
@@ -94,100 +133,114 @@ class Index:
         own = {zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(text.lower())}
         return tuple(sorted(own)[:3]) if len(own) >= 8 else text
 
-    @staticmethod
-    def _seen(examples: list[tuple[int, int, str]], n: np.ndarray) -> list[Counter]:
-        """In how many examples of either label each term is that may go with the label.
-
-        A first pass counts hashes of terms in arrays of fixed size; the second counts, by name, only the terms whose hash
-        reaches half the least chi-square, so that rare words do not fill the driver's memory.
-        """
-        rough = np.zeros((2, HASHED), np.int32)
-
-        def terms(text: str) -> set[str]:
-            return {t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)}
-
-        for _, y, text in examples:
-            rough[y, np.unique(np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHED for t in terms(text)], np.int64))] += 1
-        keep = (_chi(rough[1], rough[0], n) >= CHI / 2) if n.min() > 0 else np.zeros(HASHED, bool)
-        seen = [Counter(), Counter()]
-        for _, y, text in examples:
-            seen[y].update(t for t in terms(text) if keep[zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHED])
-        return seen
-
-    def _counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
-        """(term, how often) of the index's terms in a text."""
-        counts: dict[int, int] = {}
-        known, terms = self.known, self.terms
-        for w in _WORD.findall(text.lower()) if text else ():
-            got = known.get(w)
-            if got is None:
-                got = known[w] = tuple(i for i in map(terms.get, word_terms(w)) if i is not None)
-            for i in got:
-                counts[i] = counts.get(i, 0) + 1
+    def _counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The index's terms in a text, by number, and how often each is there; all terms, by hash, while fitting."""
+        words = Counter(_WORD.findall(text.lower())) if text else {}
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            terms = [word_terms(w) for w in new]
+            h = np.array([zlib.crc32(b) << 32 | zlib.adler32(b) for ts in terms for t in ts for b in (t.encode("utf-8", "surrogatepass"),)], np.uint64)
+            kept = np.ones(len(h), bool)
+            if self.terms is not None:
+                at = np.searchsorted(self.terms, h)
+                kept = self.terms[np.minimum(at, len(self.terms) - 1)] == h if len(self.terms) else ~kept
+                h = at
+            cut = np.concatenate(([0], np.cumsum(kept)))[np.cumsum([0, *map(len, terms)])].tolist()
+            h = h[kept]
+            for w, lo, hi in zip(new, cut, cut[1:], strict=False):
+                known[w] = h[lo:hi]
+        found = [known[w] for w in words]
         if len(known) > CACHE:
             known.clear()
-        return tuple(sorted(counts.items()))
-
-    def _vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        t, c = np.array([i for i, _ in counts], int), np.array([c for _, c in counts], float)
-        w = (1 + np.log(c)) * self.idf[t] if len(t) else c
+        if not found:
+            return np.zeros(0, np.uint64 if self.terms is None else np.int64), np.zeros(0, np.int64)
+        t, of = np.unique(np.concatenate(found), return_inverse=True)
+        return t, np.bincount(of, np.repeat(np.fromiter(words.values(), float), [len(x) for x in found]), len(t)).astype(np.int64)
+
+    def _vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        t, c = counts
+        w = (1 + np.log(c)) * self.idf[t] if len(t) else np.zeros(0)
         return t, w / np.linalg.norm(w) if len(t) else w
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the commonest terms, term by example, and each term's row there or -1."""
+        if self.common is None:
+            df = np.diff(self.postings.first)
+            top = np.argsort(-df, kind="stable")[: TABLE // max(1, len(self.ids))]
+            row = np.full(len(df), -1, np.int32)
+            row[top] = np.arange(len(top))
+            table = np.zeros((len(top), len(self.ids)), np.float32)
+            for i, t in enumerate(top.tolist()):
+                lo, hi = self.postings.first[t], self.postings.first[t + 1]
+                table[i, self.postings.at[lo:hi]] = self.postings.weight[lo:hi]
+            self.common = table, row, np.zeros(len(df))
+        return self.common
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the k examples nearest each vector, best first; only examples that share a term count."""
+        table, row, dense = self._table()
+        n = len(self.ids)
+        for lo in range(0, len(vectors), TEXTS):
+            some = vectors[lo : lo + TEXTS]
+            q = np.zeros((len(some), len(table)), np.float32)
+            for i, (t, w) in enumerate(some):
+                r = row[t]
+                q[i, r[r >= 0]] = w[r >= 0]
+            rough = q @ table
+            for i, (t, w) in enumerate(some):
+                rare = row[t] < 0
+                score = rough[i] + self.postings.add(t[rare], w[rare], n)
+                skip = skips[lo + i] if skips else -1
+                if skip >= 0:
+                    score[skip] = -1.0
+                may = np.flatnonzero(score > 0)
+                if len(may) > self.k:
+                    may = may[score[may] >= np.partition(score[may], -self.k)[-self.k] - SLACK]
+                # the few that can be among the k are compared again in full precision
+                dense[t] = w
+                own = [slice(x, z) for x, z in zip(self.first[may].tolist(), self.first[may + 1].tolist(), strict=True)]
+                exact = np.array([dense[self.of[x]] @ self.by_example[x] for x in own])
+                dense[t] = 0.0
+                order = np.lexsort((may, -np.round(exact, 12)))[: self.k]
+                yield may[order], exact[order]
+
     def _near(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, best first; only examples that share a term count."""
-        t, w = vector
-        bound = w @ self.bound[t] if len(t) else np.zeros(self.blocks)
-        best_at, best = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) >= self.k and bound[b] + 1e-12 < best[-1]):
-                break
-            score = np.zeros(BLOCK)
-            for term, x in zip(t.tolist(), w.tolist(), strict=True):
-                if (p := self.postings.get((term, b))) is not None:
-                    score[p[0] - b * BLOCK] += x * p[1]
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            at, s = np.append(best_at, hit + b * BLOCK), np.append(best, score[hit])
-            order = np.lexsort((at, -np.round(s, 12)))[: self.k]
-            best_at, best = at[order], s[order]
-        return best_at, best
+        return next(self._nearest([vector], [skip]))
 
     def forget(self) -> None:
-        """Give back a worker's caches, which would stand beside the next stage's memory: Spark keeps its workers."""
+        """Give back a worker's cache and table, which would stand beside the next stage's memory: Spark keeps its workers."""
         self.known.clear()
-        self.cache.clear()
+        self.common = None
         give_back()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "cache": {}}
+        return self.__dict__ | {"known": {}, "common": None}
 
     def _vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """The share of toxic among the neighbours, each weighing the less the farther it is, and for the rows it stands for."""
         if not len(at):
             return 0.5
-        w = self.weight[self.y[at]] / (0.05 + np.maximum(0.0, 1 - cos))
+        w = self.weight[self.y[at]] / (0.001 + np.maximum(0.0, 1 - cos))
         return float((w * self.y[at]).sum() / w.sum())
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Chance that the label is 1, and the nearest three examples with their cosines."""
-        key = self._counts(text)
-        if not key or self.line is None:
-            return self.nothing, [], []
-        if (found := self.cache.get(key)) is None:
-            at, cos = self._near(self._vector(key))
-            p = float(chance(self.line, np.array([[self._vote(at, cos)]]))[0]) if len(at) else self.nothing
-            found = p, self.ids[at[:3]].tolist(), cos[:3].tolist()
-            if len(self.cache) > CACHE // 8:
-                self.cache.clear()
-            self.cache[key] = found
-        return found
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Chance that the label is 1, and the nearest three examples with their cosines, of each text."""
+        for lo in range(0, len(texts), TEXTS):
+            vectors = [self._vector(self._counts(t)) for t in texts[lo : lo + TEXTS]]
+            if self.line is None:
+                yield from [(self.nothing, [], [])] * len(vectors)
+                continue
+            for at, cos in self._nearest(vectors):
+                p = float(chance(self.line, np.array([[self._vote(at, cos)]]))[0]) if len(at) else self.nothing
+                yield p, self.ids[at[:3]].tolist(), cos[:3].tolist()
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in batches:
-            rows = [index.score(t.as_py()) for t in b.column(1)]
+            rows = [*index.scores(b.column(1).to_pylist())]
             p, near, cos = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cos, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "similarity"])
         index.forget()
@@ -203,11 +256,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, examples: int = EXAMPLES
 def toxicity(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence, similarity) for every row of ``docs`` (doc_id, text; others are ignored).
 
-    Null and empty texts, and texts without any of the index's terms, get the share of toxic among labelled examples
-    without them, and no evidence.  Scores depend on the text alone, so repeated rows agree.  Without examples of both
+    Null and empty texts, and texts without any term of an example, get the share of toxic among labelled examples
+    without words, and no evidence.  Scores depend on the text alone, so repeated rows agree.  Without examples of both
     labels every score is that share.  An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and the length of their texts
     return docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double, evidence array<long>, similarity array<double>")
 
 
@@ -219,7 +272,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
-            yield b.filter(pa.array([shared.value.score(t.as_py())[0] < least for t in text], pa.bool_()))
+            yield b.filter(pa.array([p < least for p, _, _ in shared.value.scores(text.to_pylist())], pa.bool_()))
         shared.value.forget()
 
     return docs.mapInArrow(run, schema)
