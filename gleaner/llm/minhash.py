@@ -232,17 +232,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, with all columns.
+    """One row of each component of ``docs``, with all columns: that of the least doc_id, nulls last.
 
-    Of repeated rows (equal doc_id and linked texts) one stays; rows without a doc_id stay only when alone in their
-    component.
+    Rows are told apart even where doc_ids are null or repeated; of rows that agree in doc_id either stays.
     """
     work = work_dir(docs.sparkSession, "minhash-kept")
-    found = staged(near_duplicates(docs, k, percent), f"{work}/found")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    return left if keep.where("count > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    odd = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
+    if odd.isEmpty():
+        found = staged(near_duplicates(docs, k, percent), f"{work}/found")
+        gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), f"{work}/rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent)
+    found = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    kept = staged(found.groupBy("component_id").agg(first_of("doc_id", "__row").alias("first")).select("first.__row"), f"{work}/kept")
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,14 @@ def test_every_term_of_an_example_counts():
         assert np.allclose(index._near((np.flatnonzero(full[i]), full[i][full[i] > 0]), skip=i)[1], want, atol=1e-6)
     (p, near, cos), (q, _, _) = index.scores([rare, "plain words of one clean example"])
     assert p >= 0.5 and near[0] == 400 and abs(cos[0] - 1) < 1e-6 and q < 0.5
+
+
+def test_near_copies_without_own_ids(spark):
+    rnd = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{rnd.randrange(500)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a, 0), (None, a + " end", 1), (None, b, 2), (None, c, 3), (None, c + " end", 4), (7, d, 5), (3, d + " end", 6), (7, e, 7), (None, None, 8), (None, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = minhash.drop_near_copies(docs)
+    kept = {r["row"] for r in got.collect()}
+    assert got.columns == docs.columns and got.count() == len(kept)
+    assert kept - {3, 4} == {0, 2, 6, 7, 8, 9} and len(kept & {3, 4}) == 1
