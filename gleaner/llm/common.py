@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,20 @@ from pyspark.sql import functions as F
 #: White space and words as every operator of this subpackage understands them.
 SPACE, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 
+#: Tasks of a stage whose number follows the data.
+MOST_TASKS = 100_000
+
 _made: list[str] = []
 _own: list[str] = []
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (tests), under a folder of this process."""
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset and Spark runs in this process alone (tests),
+    under a folder of the process.  On a cluster the setting is needed: executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="gleaner-"))
         base = _own[0]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import first_of, join_weighted, staged, work_dir
+from gleaner.llm.common import MOST_TASKS, first_of, give_back, join_weighted, staged, work_dir
 from gleaner.llm.components import components
 
-#: Vectors of a shard: one graph, built and searched in one task.
-SHARD = 8192
+#: Vectors of a shard (one graph, built in one task), and of a slice of queries that visits a shard at once.
+SHARD, SLICE = 8192, 2048
+#: Shards of a label whose slices one copy of a graph serves, so that a task's queries are bounded at any size.
+SERVED = 4
 DEGREE, BEAM = 16, 48
+#: Audited queries (and least audited links) of a slice in a shard, the share of their links that must be found, and
+#: products of a matrix block when queries are compared with a whole shard.
+AUDIT, RECALL, WHOLE = 64, 0.999, 1 << 21
 
 
 class Graph:
@@ -82,14 +89,15 @@ class Graph:
         return found, sims
 
     def dump(self) -> bytes:
+        """The layers; the vectors are kept beside them."""
         out = io.BytesIO()
-        np.savez(out, unit=self.unit, **{f"{p}{k}": a for k, pair in enumerate(self.layers) for p, a in zip("wl", pair, strict=True)})
+        np.savez(out, **{f"{p}{k}": a for k, pair in enumerate(self.layers) for p, a in zip("wl", pair, strict=True)})
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, unit: np.ndarray) -> Graph:
         z = np.load(io.BytesIO(data))
-        return cls(z["unit"], [(z[f"w{k}"], z[f"l{k}"]) for k in range((len(z.files) - 1) // 2)])
+        return cls(unit.astype(np.float32), [(z[f"w{k}"], z[f"l{k}"]) for k in range(len(z.files) // 2)])
 
 
 def _diverse(x: np.ndarray, who: np.ndarray, cand: np.ndarray, degree: int) -> np.ndarray:
@@ -151,109 +159,166 @@ def beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarra
     return found, sims
 
 
-def linked_pairs(graph: Graph, raw: np.ndarray, queries: np.ndarray, least: float, audit: int = 64, recall: float = 0.999) -> set[tuple[int, int]]:
-    """(query, position) of all pairs found whose cosine, in double precision, is at least ``least``.
+def _unit(raw: np.ndarray) -> np.ndarray:
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # squares of large or small parts stay finite
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
-    A query whose whole beam reaches ``least`` is searched again with a beam twice as wide, until one member falls below.  Then
-    up to ``audit`` queries are compared with the whole shard; while less than ``recall`` of their links were
-    found, all beams are doubled, at last to the whole shard.
+
+def _whole(unit: np.ndarray, members: np.ndarray, least: float, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked (query, position) of the queries ``rows`` with all members, a matrix block at a time."""
+    step = max(1, WHOLE // max(1, len(members)))
+    for lo in range(0, len(rows), step):
+        i, j = np.nonzero(unit[rows[lo : lo + step]] @ members.T >= least)
+        yield rows[lo : lo + step][i], j
+
+
+@dataclass
+class Audit:
+    """Queries compared with their whole shard, their links, and how many of these the first and the last beams found."""
+
+    queries: int = 0
+    links: int = 0
+    first: int = 0
+    found: int = 0
+
+
+def links(graph: Graph, members: np.ndarray, unit: np.ndarray, least: float, audit: Audit, recall: float = RECALL, beam_width: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, position) of the links of unit vectors ``unit`` with the graph's ``members`` (unit, in double), each once.
+
+    A query whose whole beam is linked is searched again with a wider one; a beam of over an eighth of the shard is the
+    whole shard, compared as a matrix product.  Then queries are audited against the whole shard: ``AUDIT`` evenly spaced
+    ones and as many that found links, and more until they have ``AUDIT`` links or are a quarter of all.  While beams miss
+    more than ``recall`` allows, those of the queries not compared with the whole shard are doubled.
     """
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    near, n, width = unit.astype(np.float32), len(raw), min(len(raw), BEAM)
-    other = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    # a linked query tells more than one without links, so as many again are taken from those that found some
+    n, near, width = len(members), unit.astype(np.float32), min(len(members), beam_width)
+    widest = max(width, n // 8)
+    none = np.zeros(0, np.int64)
+
+    def search(rows: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Verified links of the queries whose beam was wide enough, and the other queries."""
+        found, sims = graph.search(near[rows], w)
+        hit = (found >= 0) & (sims >= least - 1e-4)
+        full = hit.all(axis=1) & (w < n)
+        a, b = np.nonzero(hit & ~full[:, None])
+        i, j = rows[a], found[a, b]
+        good = [np.einsum("ad,ad->a", unit[i[lo : lo + 65536]], members[j[lo : lo + 65536]]) >= least for lo in range(0, len(i), 65536)]
+        good = np.concatenate(good) if good else none.astype(bool)
+        return i[good], j[good], rows[full]
+
+    def audited(i: np.ndarray, j: np.ndarray, rows: np.ndarray) -> tuple[int, int, int]:
+        """Queries audited, their links, and how many of these are among (i, j)."""
+        own, most = np.unique(i), max(2 * AUDIT, len(unit) // 4)
+        order = np.concatenate((rows[np.linspace(0, len(rows) - 1, min(AUDIT, len(rows))).astype(int)], own[:: max(1, len(own) // AUDIT)][:AUDIT], rows[:: max(1, len(rows) // most)]))
+        order = order[np.sort(np.unique(order, return_index=True)[1])][:most]
+        pairs, done, want, have = i * n + j, 0, 0, 0
+        while done < len(order) and (done < 2 * AUDIT or want < AUDIT):
+            true = np.concatenate([a * n + b for a, b in _whole(unit, members, least, order[done : done + AUDIT])])
+            done, want, have = min(len(order), done + AUDIT), want + len(true), have + int(np.isin(true, pairs).sum())
+        return done, want, have
+
+    whole, todo, first = np.zeros(len(unit), bool), np.arange(len(unit)), True
     while True:
-        pairs: set[tuple[int, int]] = set()
-        todo, w = np.arange(len(queries)), width
-        while len(todo):
-            found, sims = graph.search(near[todo], w)
-            hit = (sims >= least - 1e-4) & (found >= 0)
-            a, b = np.nonzero(hit)
-            a, b = todo[a], found[a, b]
-            for lo in range(0, len(a), 65536):
-                i, j = a[lo : lo + 65536], b[lo : lo + 65536]
-                good = np.einsum("ad,ad->a", unit[i], other[j]) >= least
-                pairs.update(zip(i[good].tolist(), j[good].tolist(), strict=True))
-            todo = todo[hit.all(axis=1)] if w < n else todo[:0]
-            w = min(n, 2 * w)
-        own = np.unique(np.array([p for p, _ in pairs], int))
-        check = np.unique(np.concatenate((sample, own[:: max(1, len(own) // audit)][:audit]))).astype(int)
-        have = want = 0
-        for i in check.tolist():
-            true = np.flatnonzero(other @ unit[i] >= least)
-            want += len(true)
-            have += sum((i, int(j)) in pairs for j in true)
-        if width >= n or have >= recall * want:
-            return pairs
-        width = min(n, 2 * width)
-
-
-GRAPHS = "part string, shard long, nodes array<long>, counts array<long>, raw binary, graph binary"
-FOUND = "a long, b long, n long"
+        i, j, w = none, none, width
+        while len(todo) and w <= widest:
+            p, q, todo = search(todo, w)
+            i, j, w = np.concatenate((i, p)), np.concatenate((j, q)), 4 * w
+        whole[todo] = True
+        todo = np.flatnonzero(~whole)
+        if not len(todo):
+            break
+        queries, want, have = audited(i, j, todo)
+        if first:
+            audit.queries, audit.links, audit.first, audit.found, first = audit.queries + queries, audit.links + want, audit.first + have, audit.found + want, False
+        if have >= recall * want:
+            audit.found -= want - have
+            break
+        width *= 2
+    yield i, j
+    yield from _whole(unit, members, least, np.flatnonzero(whole))
+
+
+def _unite(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of a and b in the forest ``top``, whose pointers descend and rest on roots."""
+    while True:
+        p, q = top[a], top[b]
+        apart = p != q
+        if not apart.any():
+            return
+        np.minimum.at(top, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while not np.array_equal(up := top[top], top):
+            top[:] = up
 
 
-def _build(table: pa.Table) -> pa.Table:
-    table = table.take(pc.sort_indices(table, [("node", "ascending")]))
-    raw = np.array(table.column("vector").to_pylist(), np.float64)
-    unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-    graph = Graph.build(unit)
-    one = [[table.column("part")[0].as_py()], [table.column("shard")[0].as_py()], [table.column("node").to_pylist()], [table.column("n").to_pylist()], [raw.tobytes()], [graph.dump()]]
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-    return pa.table([pa.array(v, t) for v, t in zip(one, types, strict=True)], names=["part", "shard", "nodes", "counts", "raw", "graph"])
+BUILT = "part string, shard long, shards long, slice long, nodes array<long>, counts array<long>, raw binary, graph binary"
+#: kind 0: node a has n links; 1: nodes a and b are linked; 2: of n links of a audited queries b were found at first, m at last.
+FOUND = "kind int, a long, b long, n long, m long"
 
 
-def _meet(least: float):
-    """Two shards (or one with itself): the links of each vector in the other, counted, and a forest that unites them."""
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
 
-    def run(batches):
+
+def _build(table: pa.Table) -> pa.Table:
+    """A shard's graph, as a row of slice -1, and its vectors as slices of queries."""
+    table = table.take(pc.sort_indices(table, [("node", "ascending")]))
+    nodes, counts = _columns(table, "node", "n")
+    raw = table.column("vector").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+    graph = Graph.build(_unit(raw).astype(np.float32))
+    cut = [(0, len(nodes)), *((lo, min(lo + SLICE, len(nodes))) for lo in range(0, len(nodes), SLICE))]
+    part, shard, shards = (table.column(c)[0].as_py() for c in ("part", "shard", "shards"))
+    k = len(cut)
+    cols = [[part] * k, [shard] * k, [shards] * k, range(-1, k - 1), [nodes[a:b] for a, b in cut], [counts[a:b] for a, b in cut], [raw[a:b].tobytes() for a, b in cut], [graph.dump(), *[None] * (k - 1)]]
+    types = [pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary()]
+    return pa.table([pa.array(v, t) for v, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in BUILT.split(", ")])
+
+
+def _visit(graph: Graph, members: np.ndarray, own: np.ndarray, size: np.ndarray, nodes: np.ndarray, raw: np.ndarray, least: float) -> pa.RecordBatch:
+    """A slice of queries in a shard, as FOUND: links are counted and united, not listed."""
+    audit, total, top = Audit(), np.zeros(len(nodes), np.int64), np.arange(len(nodes) + len(members))
+    for i, j in links(graph, members, _unit(raw), least, audit):
+        other = nodes[i] != own[j]
+        i, j = i[other], j[other]
+        total += np.bincount(i, size[j], len(nodes)).astype(np.int64)
+        _unite(top, i, len(nodes) + j)
+    some, names, low = np.flatnonzero(total), np.concatenate((nodes, own)), np.flatnonzero(top != np.arange(len(top)))
+    zero = np.zeros(len(some), np.int64)
+    parts = [(np.zeros(len(some), np.int64), nodes[some], zero, total[some], zero)]
+    parts.append((np.ones(len(low), np.int64), names[low], names[top[low]], *[np.zeros(len(low), np.int64)] * 2))
+    parts.append(tuple(np.array([x]) for x in (2, audit.queries, audit.first, audit.links, audit.found)))
+    kind, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *map(pa.array, rest)], names=["kind", "a", "b", "n", "m"])
+
+
+def _visits(least: float):
+    """Sorted by part, shard and lane, a graph (slice -1) before the slices that are searched in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
         for b in batches:
-            for r in b.to_pylist():
-                same = r["shard"] == r["other"]
-                nodes, more = np.array(r["nodes"]), np.array(r["nodes2"])
-                counts, more_counts = np.array(r["counts"]), np.array(r["counts2"])
-                x = np.frombuffer(r["raw"]).reshape(len(nodes), -1)
-                y = np.frombuffer(r["raw2"]).reshape(len(more), -1)
-                pairs = linked_pairs(Graph.load(r["graph"]), x, y, least)
-                if same:
-                    pairs = {(i, j) for i, j in pairs if i != j}
-                    pairs |= {(j, i) for i, j in pairs}
-                else:
-                    pairs |= {(i, j) for j, i in linked_pairs(Graph.load(r["graph2"]), y, x, least)}
-                p = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-                links = np.zeros(len(more), np.int64)
-                np.add.at(links, p[:, 0], counts[p[:, 1]])
-                out = [(int(more[i]), None, int(links[i])) for i in np.flatnonzero(links)]
-                if not same:
-                    back = np.zeros(len(nodes), np.int64)
-                    np.add.at(back, p[:, 1], more_counts[p[:, 0]])
-                    out += [(int(nodes[i]), None, int(back[i])) for i in np.flatnonzero(back)]
-                top: dict[int, int] = {}
-
-                def root(v: int, top=top) -> int:
-                    while top.get(v, v) != v:
-                        top[v] = v = top.get(top[v], top[v])
-                    return v
-
-                for i, j in p.tolist():
-                    if (s := root(int(more[i]))) != (t := root(int(nodes[j]))):
-                        top[max(s, t)] = min(s, t)
-                        out.append((int(more[i]), int(nodes[j]), 0))
-                cols = [*zip(*out, strict=True)] or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
+            for r in range(b.num_rows):
+                part, shard, lane, slice_ = (b.column(c)[r].as_py() for c in range(4))
+                nodes, counts = (b.column(c)[r].values.to_numpy() for c in (4, 5))
+                raw = np.frombuffer(b.column(6)[r].as_py()).reshape(len(nodes), -1)
+                if slice_ < 0:
+                    at, held = (part, shard, lane), (Graph.load(b.column(7)[r].as_py(), _unit(raw)), _unit(raw), nodes, counts)
+                elif at == (part, shard, lane):
+                    yield _visit(*held, nodes, raw, least)
+        give_back()
 
     return run
 
 
 def embedding_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
-    """(vec_id, n_links, component_id) for every row of ``vectors`` (vec_id, embedding, label; others are ignored).
+    """(vec_id, n_links, component_id, audit_recall) for every row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
     Vectors of equal, non-null label and equal length are linked when their cosine in double precision is at least
     ``least``; vectors that are null, empty, zero or hold null or non-finite parts, or whose label is null, are linked
     with nothing.  Equal vectors of a label are one node, so a common vector costs one search, and are linked with each
     other; n_links counts every other row.  A label's nodes are dealt to shards by hash; each shard has one graph,
-    written as a row, and each pair of a label's shards is searched in both directions, in one task.  component_id is
-    the least vec_id reachable (nulls last).  An empty table gives no rows.
+    written as a row, and every slice of the label's nodes visits every shard: the slices are sent to the graphs, and a
+    graph is sent to one task for ``SERVED`` shards' slices.  A vector's links are those its own searches find.
+    component_id is the least vec_id reachable (nulls last); audit_recall is the share of the audited queries' links
+    that were found, null where they have none.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     work = work_dir(spark, "embeddings")
@@ -264,24 +329,29 @@ def embedding_duplicates(vectors: DataFrame, least: float = 0.93, shard: int = S
     total = rows.count()
     nodes = rows.where("fine").groupBy("key").agg(first_of("vec_id", "row").alias("first"), F.first("part").alias("part"), F.first("vector").alias("vector"), F.count("*").alias("n"))
     nodes = staged(nodes.select("key", "part", "vector", "n", F.col("first.row").alias("node"), F.col("first.vec_id").alias("node_id")), f"{work}/nodes")
-    shards = nodes.groupBy("part").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = nodes.join(shards, "part").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")))
-    graphs = staged(dealt.select("part", "shard", "node", "n", "vector").groupBy("part", "shard").applyInArrow(_build, GRAPHS), f"{work}/graphs")
-    names = graphs.select("part", "shard")
-    other = names.select("part", F.col("shard").alias("other"))
-    pairs = names.join(other, "part").where("shard <= other")
-    second = graphs.select("part", F.col("shard").alias("other"), F.col("nodes").alias("nodes2"), F.col("counts").alias("counts2"), F.col("raw").alias("raw2"), F.col("graph").alias("graph2"))
-    met = pairs.join(graphs, ["part", "shard"]).join(second, ["part", "other"]).repartition(F.xxhash64("part", "shard", "other"))
-    found = staged(met.select("part", "shard", "nodes", "counts", "raw", "graph", "other", "nodes2", "counts2", "raw2", "graph2").mapInArrow(_meet(least), FOUND), f"{work}/found")
-    labels = components(found.where("b is not null").select("a", "b"), f"{work}/components")
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    known = staged(nodes.select("key", "node", "node_id", "n").join(links, "node", "left").join(labels, "node", "left").select("key", "node_id", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "node").alias("label")), f"{work}/known")
+    parts = staged(nodes.groupBy("part").agg(F.count("*").alias("m")).withColumn("shards", F.ceil(F.col("m") / shard)).withColumn("lanes", F.ceil(F.col("shards") / SERVED)), f"{work}/parts")
+    sums = parts.agg(F.sum("shards").alias("shards"), F.sum(F.col("shards") * F.col("lanes")).alias("units")).first()
+    dealt = join_weighted(nodes.select("part", "key", "node", "n", "vector"), parts.select("part", "m", "shards"), ["part"], "m", total).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")))
+    dealt = dealt.select("part", "shard", "shards", "node", "n", "vector").repartition(min(MOST_TASKS, max(1, sums["shards"] or 0)), "part", "shard", "shards")
+    built = staged(dealt.groupBy("part", "shard", "shards").applyInArrow(_build, BUILT), f"{work}/graphs")
+    lanes = F.ceil(F.col("shards") / SERVED)
+    graphs = built.where("slice < 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1)).alias("lane"), F.col("shard").alias("at"))
+    slices = built.where("slice >= 0").select("*", F.pmod(F.xxhash64("shard", "slice"), lanes).alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("at"))
+    met = graphs.unionByName(slices).select("part", "at", "lane", "slice", "nodes", "counts", "raw", "graph")
+    met = met.repartition(min(MOST_TASKS, max(1, sums["units"] or 0)), "part", "at", "lane").sortWithinPartitions("part", "at", "lane", "slice")
+    found = staged(met.mapInArrow(_visits(least), FOUND), f"{work}/found")
+    seen = found.where("kind = 2").agg(F.sum("n").alias("links"), F.sum("m").alias("found")).first()
+    labels = components(found.where("kind = 1").select("a", "b"), f"{work}/components")
+    counted = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    known = staged(nodes.select("key", "node", "node_id", "n").join(counted, "node", "left").join(labels, "node", "left").select("key", "node_id", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "node").alias("label")), f"{work}/known")
     best = staged(known.groupBy("label").agg(F.min("node_id").alias("component_id"), F.count("*").alias("m")), f"{work}/best")
     named = staged(join_weighted(known, best, ["label"], "m", total).select("key", "n", "n_links", "component_id"), f"{work}/named")
     out = join_weighted(rows.where("fine").select("vec_id", "key"), named, ["key"], "n", total).select("vec_id", "n_links", "component_id")
-    return out.unionByName(rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    out = out.unionByName(rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("audit_recall", F.lit(seen["found"] / seen["links"] if seen["links"] else None).cast("double"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op2 over ``embeddings``; rows as ``embedding_duplicates`` says, ``kept`` is null for a null vec_id."""
     found = embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "audit_recall")

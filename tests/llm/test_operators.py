@@ -107,26 +107,60 @@ def test_substring(spark, odd, corpus):
     assert substring.repeated_passages(odd.limit(0)).count() == 0
 
 
-def test_embeddings(spark):
-    rnd = np.random.default_rng(3)
-    centre = rnd.normal(size=(20, 16))
-    v = np.concatenate([c + 0.12 * rnd.normal(size=(15, 16)) for c in centre])
-    rows = [(i, [float(x) for x in a], i % 2) for i, a in enumerate(v)]
-    f = np.array([r[1] for r in rows], np.float32).astype(float)
-    unit = f / np.linalg.norm(f, axis=1, keepdims=True)
-    link = (unit @ unit.T >= 0.93) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2) & ~np.eye(300, dtype=bool)
-    p = {i: i for i in range(300)}
-    for i, j in zip(*np.nonzero(link), strict=True):
-        a, b = find(p, int(i)), find(p, int(j))
-        p[max(a, b)] = min(a, b)
-    for shard in (8192, 40):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), shard=shard).collect()}
-        want = {i: (int(link[i].sum()), find(p, i)) for i in range(300)}
-        assert sum(got[i] == want[i] for i in want) >= 297
-    odd = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0], None), (None, [1.0, 0.0], 1), (10, [], 1)]
-    df = spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.embedding_duplicates(df).collect()}
-    assert got[1] == got[2] == got[None] == (2, 1) and all(got[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 10))
+def brute_links(rows, least=0.93):
+    """{vec_id: (links, least vec_id reachable)} by comparing every two vectors of a label."""
+    ids, p, n = [r[0] for r in rows], {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
+    for label in {r[2] for r in rows}:
+        own = [k for k, r in enumerate(rows) if r[2] == label]
+        x = np.array([rows[k][1] for k in own], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        hit = x @ x.T >= least
+        np.fill_diagonal(hit, False)
+        for k, row in zip(own, hit, strict=True):
+            n[ids[k]] = int(row.sum())
+            for j in np.flatnonzero(row):
+                a, b = find(p, ids[k]), find(p, ids[own[j]])
+                p[max(a, b)] = min(a, b)
+    return {i: (n[i], find(p, i)) for i in ids}
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("many, dense, shard", [(300, 20, 64), (300, 20, 8192), (5000, 700, 1500)])
+def test_embeddings(spark, many, dense, shard):
+    """Pairs of near vectors, equal vectors, and a group denser than the beam and spread over shards."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=32)
+    x = rng.normal(size=(many, 32))
+    x[1::7] = x[0::7][: len(x[1::7])] + 0.05 * rng.normal(size=(len(x[1::7]), 32))
+    x[2::70] = x[0::70][: len(x[2::70])]
+    x[many - dense :] = centre + 0.15 * rng.normal(size=(dense, 32))
+    rows = [(i, x[i].astype(np.float32).tolist(), 1 if many > 1000 or i >= many - dense else i % 2) for i in range(many)]
+    got = hnsw.embedding_duplicates(spark.createDataFrame(rows, VECTORS), shard=shard).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_links(rows) and got[0]["audit_recall"] >= 0.999
+
+
+def test_beams_widen_until_the_audit_passes():
+    """A graph without links between its members finds little; the audit notices, and in the end all is compared."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[:300] + 0.02 * rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    broken = hnsw.Graph(x.astype(np.float32), [(np.arange(600), np.full((600, 32), -1, np.int32))])
+    for graph, poor in ((broken, True), (hnsw.Graph.build(x.astype(np.float32)), False)):
+        audit = hnsw.Audit()
+        got = sorted((int(i), int(j)) for a, b in hnsw.links(graph, x, x, 0.93, audit) for i, j in zip(a, b, strict=True))
+        assert got == sorted(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.93)), strict=True))
+        assert audit.links >= 64 and audit.found == audit.links and (audit.first < audit.links) == poor
+
+
+def test_odd_embeddings(spark):
+    """Null, empty, zero and non-finite vectors, null labels and ids, huge and tiny values, repeated rows, other lengths, no rows."""
+    odd = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [1.0, float("nan")], 1), (6, [1.0, 1.0], None), (7, [1.0, 1.0], 1), (8, [1.0, 1.0], 1), (8, [1.0, 1.0], 1), (None, [1e30, 1e30], 1), (9, [1.0, 1.0, 1.0], 1), (10, [float("inf"), 1.0], 1), (11, [1e-30, 1e-30], 1)]
+    df = spark.createDataFrame(odd, VECTORS).withColumn("key", F.lit("x")).withColumn("row", F.lit(1)).withColumn("part", F.lit(2))
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in hnsw.embedding_duplicates(df).collect()), key=lambda r: r[0])
+    assert got == [(0, 4, 7), *((i, 0, i) for i in range(1, 7)), (7, 4, 7), (8, 4, 7), (8, 4, 7), (9, 0, 9), (10, 0, 10), (11, 4, 7)]
     assert hnsw.embedding_duplicates(df.limit(0)).count() == 0
 
 
