@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,13 @@ def give_back() -> None:
         trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows``, so that a worker holds few texts as Python objects at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def numbered(docs: DataFrame, columns: list[str], path: str, key: str = "doc_id") -> DataFrame:
     """``columns`` of ``docs`` and a unique long ``row``.
 
