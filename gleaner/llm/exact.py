@@ -13,8 +13,10 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
+#: Files of light rows (digests) that a micro-batch reads.
+FILES = 1024
 
 
 def normalised(text: str | Column) -> Column:
@@ -26,17 +28,29 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def absorb(spark: SparkSession, path: str, schema, state: str) -> DataFrame:
+def located(docs: DataFrame, path: str) -> DataFrame:
+    """(doc, file, at): every row of ``docs`` as a struct, with the file that holds it and its place there.
+
+    Where ``docs`` is not a plain scan of files, it is written under ``path`` once and read from there.
+    """
+    if "_metadata" in docs.columns or docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), path)
+        return docs.select("doc", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
+def absorb(spark: SparkSession, path: str, schema, state: str, files: int = FILES) -> DataFrame:
     """Stream the rows under ``path`` that the state does not know yet into it, and return the whole state.
 
-    Rows are (digest, doc_id, row); the state never expires and holds, per digest, the first identifier, the row that
-    locates its content, and the number of rows.  A second call with more files under ``path`` continues the first.
+    Rows hold digest, doc_id and row; a micro-batch reads ``files`` files.  The state never expires and holds, per
+    digest, the first identifier, the row that locates its content, and the number of rows.  A second call, after more
+    files came or after a failure, goes on from the first one's checkpoint.
     """
     old = {k: spark.conf.get(k, None) for k in STATE}
     try:
         for k, v in STATE.items():
             spark.conf.set(k, v)
-        seen = spark.readStream.schema(schema).parquet(path).groupBy("digest").agg(first_of("doc_id", "row").alias("first"), F.count("*").alias("n"))
+        seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).groupBy("digest").agg(first_of("doc_id", "row").alias("first"), F.count("*").alias("n"))
         seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
         kept = spark.read.format("statestore").load(state)
         first, n = kept.schema["value"].dataType.names[:2]
@@ -47,56 +61,58 @@ def absorb(spark: SparkSession, path: str, schema, state: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
-    """(row, doc_id, digest, keep_id, group_size, kept) for every row of ``docs`` (doc_id, text; others are ignored).
-
-    Texts are equal when their normalised bytes are: the stream's state finds rows of equal digest, and the texts of
-    every digest that came twice are then grouped by their full bytes.  A digest that turns out to stand for several
-    texts is divided by text.  ``digest`` maps the normalised text to a binary column (tests use a weak one).
-
-    Null and empty texts are equal to each other; a null doc_id sorts last; of rows that agree in doc_id and text one
-    stays; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    work = work_dir(spark, "exact")
-    texts = docs.select("doc_id", normalised("text").alias("norm")).withColumn("digest", digest(F.col("norm")))
-    rows = staged(texts.select("doc_id", "digest", F.monotonically_increasing_id().alias("row")), f"{work}/rows")
+def _dedup(source: DataFrame, work: str, digest=sha256, files: int = FILES) -> DataFrame:
+    """``exact_dedup`` of (doc, file, at), with the locators."""
+    spark = source.sparkSession
+    rows = source.select("doc.doc_id", digest(normalised("doc.text")).alias("digest"), "file", "at", F.monotonically_increasing_id().alias("row"))
+    rows = staged(rows, f"{work}/rows")
     total = rows.count()
     if not total:
-        return rows.select("row", "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    state = absorb(spark, f"{work}/rows", rows.schema, f"{work}/state")
-    hits = join_weighted(texts.select("digest", "norm"), state.where("n > 1").select("digest", "n"), ["digest"], "n", total, "left_semi")
-    clash = staged(hits.groupBy("digest", "norm").count().groupBy("digest").count().where("count > 1").select("digest"), f"{work}/clashes")
-    out = join_weighted(rows, state, ["digest"], "n", total).select("row", "doc_id", "digest", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"))
+        return rows.select("row", "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "file", "at")
+    state = absorb(spark, f"{work}/rows", rows.schema, f"{work}/state", files)
+    # the bytes of every hit, by its locator
+    hits = join_weighted(rows, state.where("n > 1").select("digest", "n"), ["digest"], "n", total, "left_semi")
+    texts = source.select("file", "at", normalised("doc.text").alias("norm")).hint("merge").join(hits, ["file", "at"])
+    clash = staged(texts.groupBy("digest", "norm").count().groupBy("digest").count().where("count > 1").select("digest"), f"{work}/clashes")
+    out = join_weighted(rows, state, ["digest"], "n", total).select("row", "doc_id", "digest", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "file", "at")
     if clash.isEmpty():
         return out
-    again = staged(texts.join(clash, "digest", "left_semi").withColumn("row", F.monotonically_increasing_id()), f"{work}/again")
+    again = staged(texts.join(clash, "digest", "left_semi"), f"{work}/again")
     groups = staged(again.groupBy("digest", "norm").agg(first_of("doc_id", "row").alias("first"), F.count("*").alias("n")), f"{work}/groups")
     split = join_weighted(again, groups, ["digest", "norm"], "n", total)
-    split = split.select((-F.col("row") - 1).alias("row"), "doc_id", "digest", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"))
+    split = split.select("row", "doc_id", "digest", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"), "file", "at")
     return out.join(clash, "digest", "left_anti").select(split.columns).unionByName(split)
 
 
+def exact_dedup(docs: DataFrame, digest=sha256, files: int = FILES) -> DataFrame:
+    """(row, doc_id, digest, keep_id, group_size, kept, file, at) for every row of ``docs`` (doc_id, text; others are ignored).
+
+    Texts are equal when their normalised bytes are: the stream's state finds rows of equal digest, and the texts of
+    every digest that came twice, fetched by file and place, are then grouped by their full bytes.  A digest that turns
+    out to stand for several texts is divided by text.  ``digest`` maps the normalised text to a binary column (tests
+    use a weak one).
+
+    Null and empty texts are equal to each other; a null doc_id sorts last; of rows that agree in doc_id and text one
+    stays; an empty table gives no rows.
+    """
+    work = work_dir(docs.sparkSession, "exact")
+    return _dedup(located(docs, f"{work}/docs"), work, digest, files)
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of repeated rows one stays.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
 
-    A null doc_id is treated like any other value.  Where two rows share a doc_id and a text, the other columns of
-    the one that stays are those of either.
+    Rows are told apart by their place: of repeated rows one stays, and a null or repeated doc_id takes no other text with
+    it.  Null and empty texts are copies of each other.  An empty table gives no rows.
     """
-    found = exact_dedup(docs).select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest"), "kept")
-    per = staged(found.groupBy("found_id", "found_digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), work_dir(docs.sparkSession, "exact-ids"))
-    gone = per.where("not kept")
-    digest = sha256(normalised("text"))
-    same = docs["doc_id"].eqNullSafe(F.col("found_id")) & (digest == F.col("found_digest"))
-    left = docs.join(gone, same, "left_anti")
-    twice = per.where("kept and n > 1")
-    if twice.isEmpty():
-        return left
-    single = left.join(twice, same, "left_anti")
-    return single.unionByName(left.join(twice, same, "left_semi").withColumn("__norm", normalised("text")).dropDuplicates(["doc_id", "__norm"]).drop("__norm"))
+    work = work_dir(docs.sparkSession, "exact")
+    source = located(docs, f"{work}/docs")
+    gone = staged(_dedup(source, work).where("not kept").select("file", "at"), f"{work}/gone")
+    return source.join(gone, ["file", "at"], "left_anti").select("doc.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op5: one row for each row of ``documents``, as ``exact_dedup`` says."""
     found = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
