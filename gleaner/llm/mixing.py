@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import SPACE, WORD, staged, work_dir
+from gleaner.llm.common import MOST_TASKS, SPACE, WORD, staged, work_dir
 
 BLOCK, SLOTS, WEIGHTS, MOST = 256, 4096, (5, 2, 1), 3
-#: Documents of a bucket of a source: what one task numbers.
+#: Documents of four ranges: what a task numbers is a quarter of it.
 BUCKET = 20_000
 
 
@@ -92,7 +92,8 @@ def quota(number: int, size: int, target: float, seed: int, block: int = BLOCK)
 
 
 def _halve(rng: np.random.Generator, counts: list[int], n: int) -> list[int]:
-    """How many of n drawn slots each source has, of ``counts`` slots in all."""
+    """How many of n drawn slots each source has, of ``counts`` slots in all; from 1e9 slots on, where the exact draw is
+    not to be had, by the normal approximation."""
     out, total = [], sum(counts)
     for c in counts:
         if n <= 0 or c <= 0:
@@ -162,7 +163,7 @@ def _draw(quotas: list[Quota], seed: int, block: int, slots: int):
 
 @dataclass
 class Mix:
-    """``rows``: the documents with row, size, number, source_size, target, place (of their first word in their source);
+    """``rows``: the documents (as a struct, doc) with row, size, hash, number, source_size and target;
     ``slots``: the drawn blocks (shard, slot, number, turn, block, words); ``parts``: for each slot and document in it,
     the slot with row, and start and length of the words it takes of the document."""
 
@@ -177,56 +178,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     Sources in code-point order, null last, have ``weights`` in turn.  A document's size is its number of words; null and
     empty texts have none and are never taken.  No word is taken more than ``most`` times, so no document exceeds that many
     times its size.  A source's words are taken to its target exactly, rounded to a word.  Equal runs draw alike:
-    documents are ordered by bucket of their doc_id, doc_id, size and text's hash; rows equal in all of these are
-    interchangeable.  The driver holds one row for each source.  With ``texts`` the rows hold all columns of ``docs``, else doc_id and
+    documents are ordered by doc_id, size and text's hash; rows equal in all of these are interchangeable, and are
+    numbered in ranges of rows like any others.  The driver and each drawing task hold one row for each source.  With ``texts`` the rows hold all columns of ``docs``, else doc_id and
     source only.  An empty table gives an empty mix.
     """
     spark = docs.sparkSession
     work = work_dir(spark, "mixing")
-    own = docs.columns if texts else ["doc_id", "source"]
-    sized = docs.select(*own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), F.xxhash64("text").alias("__hash"))
-    rows = staged(sized.select("*", F.monotonically_increasing_id().alias("__row")), f"{work}/rows")
-    found = rows.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()  # one row for each source
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if texts else ["doc_id", "source"])])  # so no name of theirs clashes
+    sized = docs.select(own.alias("doc"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("hash"))
+    rows = staged(sized.select("*", F.monotonically_increasing_id().alias("row")), f"{work}/rows")
+    found = rows.groupBy(F.col("doc.source").alias("source")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
     quotas = [quota(i, r["size"], t, seed, block) for i, (r, t) in enumerate(zip(found, goal, strict=True))]
     total = sum(r["n"] for r in found)
-    table = spark.createDataFrame([(r["source"], i, r["size"], t) for i, (r, t) in enumerate(zip(found, goal, strict=True))], "__source string, __number int, __source_size long, __target double")
-
-    rows = rows.join(F.broadcast(table), F.col("source").cast("string").eqNullSafe(F.col("__source"))).drop("__source")
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(max(1, total // BUCKET * 4)))
-    order = "__number", "__bucket"
-    narrow = rows.select("__row", "doc_id", "__size", "__hash", "__number", bucket.alias("__bucket"))
-    sums = narrow.groupBy(*order).agg(F.sum("__size").alias("__sum"))
-    before = F.sum("__sum").over(_window("__number", "__bucket")) - F.col("__sum")
-    sums = sums.select(*order, before.alias("__before"))
-    inside = F.sum("__size").over(_window(order, "doc_id", "__size", "__hash", "__row")) - F.col("__size")
-    placed = narrow.withColumn("__inside", inside).join(sums.hint("merge"), list(order)).select("__row", "__number", "__size", (F.col("__before") + F.col("__inside")).alias("__place"))
+    table = spark.createDataFrame([(r["source"], i, r["size"], t) for i, (r, t) in enumerate(zip(found, goal, strict=True))], "source string, number int, source_size long, target double")
+    rows = rows.join(F.broadcast(table), F.col("doc.source").cast("string").eqNullSafe(F.col("source"))).drop("source")
+
+    # the place of each document's first word: ranges of documents, sums before them, and running sums inside
+    order = ["number", "doc_id", "size", "hash", "row"]
+    narrow = rows.select("number", "doc.doc_id", "size", "hash", "row").repartitionByRange(min(MOST_TASKS, max(1, total // BUCKET * 4)), *order)
+    narrow = staged(narrow.withColumn("part", F.spark_partition_id()), f"{work}/ranges")
+    sums = narrow.groupBy("number", "part").agg(F.sum("size").alias("sum"))
+    sums = sums.select("number", "part", (F.sum("sum").over(_window(["number"], "part")) - F.col("sum")).alias("before"))
+    inside = F.sum("size").over(_window(["number", "part"], *order[1:])) - F.col("size")
+    placed = narrow.withColumn("inside", inside).join(sums.hint("merge"), ["number", "part"]).select("row", "number", "size", (F.col("before") + F.col("inside")).alias("place"))
     placed = staged(placed, f"{work}/placed")
 
     shards = -(-sum(q.slots for q in quotas) // slots)
     drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(_draw(quotas, seed, block, slots), DRAWN)
     drawn = staged(drawn, f"{work}/slots")
-    touched = F.sequence(F.floor(F.col("__place") / block), F.floor((F.col("__place") + F.col("__size") - 1) / block))
-    cut = placed.where("__size > 0").withColumn("block", F.explode(touched))
-    start = F.greatest(F.col("__place"), F.col("block") * block)
-    stop = F.least(F.col("__place") + F.col("__size"), F.col("block") * block + F.col("words"))
-    parts = cut.hint("merge").join(drawn.withColumnRenamed("number", "__number"), ["__number", "block"]).where(stop > start)
-    parts = parts.select("shard", "slot", "turn", F.col("__row").alias("row"), (start - F.col("__place")).alias("start"), (stop - start).alias("length"))
+    touched = F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block))
+    cut = placed.where("size > 0").withColumn("block", F.explode(touched))
+    start = F.greatest(F.col("place"), F.col("block") * block)
+    stop = F.least(F.col("place") + F.col("size"), F.col("block") * block + F.col("words"))
+    parts = cut.hint("merge").join(drawn, ["number", "block"]).where(stop > start)
+    parts = parts.select("shard", "slot", "turn", "row", (start - F.col("place")).alias("start"), (stop - start).alias("length"))
     return Mix(rows, drawn, parts)
 
 
-def _window(by, *order):
-    from pyspark.sql import Window
-
-    by = [by] if isinstance(by, str) else list(by)
+def _window(by: list[str], *order: str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def taken_words(mixed: Mix) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken) of every document, those of which nothing is taken too."""
     taken = mixed.parts.groupBy("row").agg(F.sum("length").alias("taken"))
-    rows = mixed.rows.select(F.col("__row").alias("row"), "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"))
+    rows = mixed.rows.select("row", "doc.doc_id", "size", "source_size", "target")
     return rows.hint("merge").join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
@@ -246,17 +244,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, element_at(a, -1).length + s.length as length)))
         else concat(a, array(struct(s.start as start, s.length as length))) end)"""
     )
-    spans = spans.select(F.col("row").alias("__row"), F.explode(joined).alias("__span"))
-    own = docs.columns
-    out = mixed.rows.hint("merge").join(spans, "__row")
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    text = F.when(F.col("__span.length") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, (F.col("__span.start") + 1).cast("int"), F.col("__span.length").cast("int")), " "))
-    out = out.withColumn("text", text)
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*own)
+    spans = spans.select("row", F.explode(joined).alias("span"))
+    out = mixed.rows.select("row", "doc", "size").hint("merge").join(spans, "row")
+    words = F.filter(F.split("doc.text", SPACE), lambda w: w != "")
+    text = F.when(F.col("span.length") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(F.slice(words, (F.col("span.start") + 1).cast("int"), F.col("span.length").cast("int")), " "))
+    out = out.select("doc", text.alias("text"))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op3: one row for each row of ``documents``, as ``taken_words`` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return taken_words(mix(docs, texts=False)).select("doc_id", "size", "source_size", "target", "taken")
