@@ -93,19 +93,21 @@ def cut(docs: DataFrame, size: int = 4096, tokenizer: str | None = None, end: in
 def pack_pieces(pieces: DataFrame, work: str, tokens: int = 4096, docs: int | None = None, attention: int | None = None, rule: str = "norm", full: float = 0.98) -> DataFrame:
     """``pieces`` (length, any others) with sequence_id and offset, packed in ever fewer groups.
 
-    Pieces fall into groups by hash and every group is packed by ``pack``.  The pieces of bins that are less than
+    Pieces are numbered as they are staged and fall into groups by a hash of the number, and every group is packed by ``pack``.  The pieces of bins that are less than
     ``full`` are packed once more among themselves, in groups of the same size, until one group is left.  No capacity
     is broken, no piece is dropped or cut; what one task holds is bounded by ``GROUP`` pieces of three numbers, and a
     group never depends on a source or a key.
     """
     docs, attention = docs or tokens, attention or tokens * tokens
-    fields = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
-    columns = [f.name for f in fields]
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    number = max(own, key=len) + "_"  # a name that is not taken: equal pieces differ by it and so fall into any group
+    pieces = staged(pieces.select(*own, F.monotonically_increasing_id().alias(number)), f"{work}/numbered")
+    columns = [*own, number]
     schema = pieces.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("fill"), F.lit(0).alias("level")).schema
 
     def packer(level: int):
         def run(table: pa.Table) -> pa.Table:
-            n, g = table.column("length").to_numpy(), table.column("__group")[0].as_py()
+            n, g = table.column("length").to_numpy(), table.column(number + "_")[0].as_py()
             order = pc.sort_indices(table, [(c, "ascending") for c in columns])
             table, n = table.take(order), n[order.to_numpy()]
             bins, offset = pack(n, tokens, docs, attention, rule)
@@ -118,8 +120,8 @@ def pack_pieces(pieces: DataFrame, work: str, tokens: int = 4096, docs: int | No
     count = rest.count()
     while True:
         groups = max(1, count // GROUP)
-        key = F.pmod(F.xxhash64(F.lit(level), *columns), F.lit(groups))
-        packed = staged(rest.select(*columns, key.alias("__group")).groupBy("__group").applyInArrow(packer(level), schema), f"{work}/level-{level}")
+        key = F.pmod(F.xxhash64(F.lit(level), number), F.lit(groups))
+        packed = staged(rest.select(*columns, key.alias(number + "_")).groupBy(number + "_").applyInArrow(packer(level), schema), f"{work}/level-{level}")
         if groups == 1:
             last = packed
             break
@@ -131,7 +133,7 @@ def pack_pieces(pieces: DataFrame, work: str, tokens: int = 4096, docs: int | No
             last = rest
             break
         count, level = fewer, level + 1
-    return (last if done is None else done.unionByName(last)).select(*columns, "sequence_id", "offset")
+    return (last if done is None else done.unionByName(last)).select(*own, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokens: int = 4096, tokenizer: str | None = None, end: int = 1, **limits) -> DataFrame:
@@ -142,8 +144,9 @@ def pack_documents(docs: DataFrame, tokens: int = 4096, tokenizer: str | None =
     ignored.
     """
     work = work_dir(docs.sparkSession, "packing")
-    return pack_pieces(staged(cut(docs, tokens, tokenizer, end), f"{work}/pieces"), work, tokens, **limits)
+    return pack_pieces(cut(docs, tokens, tokenizer, end), work, tokens, **limits)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op6: one row for each piece of ``documents``, as ``pack_documents`` says."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
