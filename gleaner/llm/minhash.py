@@ -242,13 +242,14 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         found = staged(near_duplicates(docs, k, percent), f"{work}/found")
         gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), f"{work}/rows")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, percent)
-    found = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
-    kept = staged(found.groupBy("component_id").agg(first_of("doc_id", "__row").alias("first")).select("first.__row"), f"{work}/kept")
-    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+    rows = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), f"{work}/rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"), k, percent)
+    found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc.doc_id"), "row")
+    kept = staged(found.groupBy("component_id").agg(first_of("doc_id", "row").alias("first")).select("first.row"), f"{work}/kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op4: one row for each row of ``documents``, as ``near_duplicates`` with k = 4 says."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
