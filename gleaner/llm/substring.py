@@ -2,10 +2,12 @@
 
 1. Candidates: each window of ``size`` words has one anchor, its least ``ANCHOR``-word phrase by hash.  Anchors that occur
    once cannot belong to a repeated window; windows of the others are grouped by anchor and compared by hash, which
-   gives, for each repeated window, its first place, and from consecutive ones the recurring passages.
+   gives, for each repeated window, its first place, and from consecutive ones the recurring passages.  Documents of
+   the same words are copies: all but the first go whole.
 2. Automata: documents that hold a recurring passage are dealt to shards with the passages' words as the first place has
    them; a shard compiles its passages into one Aho-Corasick automaton over word numbers and streams its documents through
-   it, which confirms the words and locates every occurrence.
+   it, which confirms the words and locates every occurrence.  Every document has been hashed then; one without a
+   recurring anchor cannot hold a recurring window, so no automaton has anything to find in it.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def anchors(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return g, at
 
 
-PROFILE = "row long, doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>"
+PROFILE = "row long, doc_id long, n_words long, sha binary, anchors array<struct<anchor:long,times:long>>"
 
 
 def _profile(size: int):
@@ -51,54 +53,64 @@ def _profile(size: int):
             texts = binary(b.column(2))
             for lo, hi in chunks(texts):
                 buf, starts, stops, first = scan(texts, lo, hi)
-                h, out = hashes(buf, starts, stops), []
+                h, out, mine, times = hashes(buf, starts, stops), [], [], []
                 raw = [x.split() for x in texts.slice(lo, hi - lo).to_pylist()]
                 for words, p, q in zip(raw, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    d = np.frombuffer(hashlib.blake2b(h[p:q].tobytes(), digest_size=16).digest(), np.int64)
                     g, at = anchors(h[p:q], size)
-                    mine, times = np.unique(g[np.unique(at)].view(np.int64), return_counts=True)  # twice if it is at two places
-                    mine = np.repeat(mine, np.minimum(times, 2))
-                    out.append((q - p, int(d[0]), int(d[1]), hashlib.sha256(b" ".join(words)).hexdigest(), mine))
-                n, d1, d2, sha, own = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sha), pa.array(own, pa.list_(pa.int64()))], names=[x.split()[0] for x in PROFILE.split(", ")])
+                    own = np.unique(g[np.unique(at)].view(np.int64), return_counts=True)
+                    mine.append(own[0])
+                    times.append(own[1])
+                    out.append((q - p, hashlib.sha256(b" ".join(words)).digest()))
+                n, sha = zip(*out, strict=True)
+                cut = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in mine]))).astype(np.int32))
+                own = pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([pa.array(np.concatenate(mine)), pa.array(np.concatenate(times))], ["anchor", "times"]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), own], names=["row", "doc_id", "n_words", "sha", "anchors"])
 
     return run
 
 
-SPANS = "anchor long, row long, doc_id long, start long, windows array<long>"
+SPANS = "anchor long, parts long, row long, doc_id long, start long, windows array<long>"
 
 
 def _spans(size: int):
-    """(row, doc_id, text, recurring anchors) -> runs of windows that share a recurring anchor, with window hashes."""
+    """(row, doc_id, text, recurring anchors and their parts) -> runs of windows that share one, with window hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = binary(b.column(2))
-            wanted = b.column(3).to_pylist()
+            lists = b.column(3)
+            cuts, wanted = lists.offsets.to_numpy(), lists.flatten()
+            names, shares = wanted.field(0).to_numpy(), wanted.field(1).to_numpy()
+            cuts = cuts - cuts[0]
             for lo, hi in chunks(texts):
                 buf, starts, stops, first = scan(texts, lo, hi)
-                h, rows, docs, marks, begin, lists = hashes(buf, starts, stops), [], [], [], [], []
+                h, rows, marks, many, begin, runs = hashes(buf, starts, stops), [], [], [], [], []
                 for i, p, q in zip(range(lo, hi), first[:-1].tolist(), first[1:].tolist(), strict=True):
                     g, at = anchors(h[p:q], size)
                     if not len(at):
                         continue
                     w, a = grams(h[p:q], size).view(np.int64), g[at].view(np.int64)
                     cut = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-                    want = np.isin(a[cut[:-1]], np.array(wanted[i], np.int64))
-                    for s, e in zip(cut[:-1][want].tolist(), cut[1:][want].tolist(), strict=True):
+                    own, share = names[cuts[i] : cuts[i + 1]], shares[cuts[i] : cuts[i + 1]]
+                    order = np.argsort(own)
+                    own, share = own[order], share[order]
+                    place = np.minimum(np.searchsorted(own, a[cut[:-1]]), len(own) - 1)
+                    want = own[place] == a[cut[:-1]]
+                    for s, e, k in zip(cut[:-1][want].tolist(), cut[1:][want].tolist(), share[place[want]].tolist(), strict=True):
                         rows.append(i)
                         marks.append(a[s])
+                        many.append(k)
                         begin.append(s)
-                        lists.append(w[s:e])
+                        runs.append(w[s:e])
                 take = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(marks, np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(begin, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=[x.split()[0] for x in SPANS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(marks, np.int64)), pa.array(many, pa.int64()), b.column(0).take(take), b.column(1).take(take), pa.array(begin, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], names=[x.split()[0] for x in SPANS.split(", ")])
 
     return run
 
 
 RUNS = "row long, start long, n long, first_row long, first_start long"
-#: Parts of an anchor that makes a thousandth of all places.
-SALTS = 32
+#: Places of an anchor that one task compares; an anchor of more is dealt to several keys, as many as its places need.
+PLACES = 1024
 FIRSTS = RUNS + ", bucket long, w array<long>, rows array<long>, docs array<long>, starts array<long>"
 _RUN, _PACK = RUNS.replace(" long", "").split(", "), ["w", "rows", "docs", "starts"]
 
@@ -113,7 +125,8 @@ def _runs(r: np.ndarray, s: np.ndarray, fr: np.ndarray, fs: np.ndarray) -> list[
 
 
 def _firsts(buckets: int):
-    """Sorted spans of whole keys -> runs of windows whose first place in the key is elsewhere, with that place.
+    """Sorted spans of whole keys (about ``PLACES`` each) -> runs of windows whose first place in the key is elsewhere,
+    with that place.
 
     Rows come sorted by key, so that a window's places stand together, least document and start first.  Only the
     rows of the last key are held back between batches.  A hot anchor is several keys: the first places found in each
@@ -264,26 +277,25 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     total = known.count()
 
     # rows of equal words are copies of the least: every window of theirs starts earlier there
-    same = ["n_words", "d1", "d2"]
+    same = ["n_words", "sha"]
     alike = known.where(F.col("n_words") >= size).groupBy(*same).agg(first_of("doc_id", "row").alias("first"), F.count("*").alias("m"))
     alike = staged(alike.where("m > 1").select(*same, F.col("first.row").alias("first_row"), "m"), f"{work}/alike")
     copies = staged(join_weighted(known.select("row", *same), alike, same, "m", total).where("row <> first_row").select("row"), f"{work}/copies")
     firsts = known.select("row", "doc_id", "anchors").hint("merge").join(copies, "row", "left_anti")
 
     # anchors that two places share
-    seen = staged(firsts.where(F.size("anchors") > 0).select("row", F.explode("anchors").alias("anchor")), f"{work}/anchors")
-    places = seen.count()
-    shared = staged(seen.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), f"{work}/shared")
-    wanted = join_weighted(seen, shared, ["anchor"], "m", places, "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
+    seen = staged(firsts.where(F.size("anchors") > 0).select("row", F.explode("anchors").alias("a")).select("row", "a.*"), f"{work}/anchors")
+    places = seen.agg(F.sum("times")).first()[0] or 0
+    shared = staged(seen.groupBy("anchor").agg(F.sum("times").alias("m")).where("m > 1"), f"{work}/shared")
+    wanted = join_weighted(seen.select("row", "anchor"), shared, ["anchor"], "m", places).groupBy("row").agg(F.collect_list(F.struct("anchor", F.ceil(F.col("m") / PLACES).alias("parts"))).alias("wanted"))
     some = staged(texts.hint("merge").join(wanted, "row"), f"{work}/texts-some", compression="zstd")
 
-    # an earlier place of each repeated window; a hot anchor (at most 1000 are) is dealt to several keys, whose finds
-    # then meet by window
-    hot = F.broadcast(shared.where(F.col("m") >= max(2, places // 1000)).select("anchor", F.lit(True).alias("hot")))
+    # an earlier place of each repeated window; an anchor of many places is dealt to several keys, whose finds then
+    # meet by window
     order = [F.asc_nulls_last("doc_id"), F.asc("row"), F.asc("start")]
     buckets = max(64, places // 100_000)
-    spans = some.select("row", "doc_id", "text", "wanted").mapInArrow(_spans(size), SPANS).join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    spans = spans.select(F.when(F.col("hot"), F.xxhash64("anchor", F.pmod(F.xxhash64("row"), F.lit(SALTS)))).otherwise(F.col("anchor")).alias("key"), "row", "doc_id", "start", "windows", "hot")
+    spans = some.select("row", "doc_id", "text", "wanted").mapInArrow(_spans(size), SPANS)
+    spans = spans.select(F.when(F.col("parts") > 1, F.xxhash64("anchor", F.pmod(F.xxhash64("row", "start"), "parts"))).otherwise(F.col("anchor")).alias("key"), "row", "doc_id", "start", "windows", (F.col("parts") > 1).alias("hot"))
     level = staged(spans.repartition("key").sortWithinPartitions("key", *order).mapInArrow(_firsts(buckets), FIRSTS), f"{work}/firsts")
     discard(spark, f"{work}/anchors", f"{work}/shared")
     light = level.where("row is not null").select(*_RUN)
@@ -301,8 +313,9 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     found = found.select("row", F.lit(False).alias("copy"), "n_removed", "kept_sha256", "spans").unionByName(copies.select("row", F.lit(True).alias("copy"), F.lit(0).cast("long").alias("n_removed"), F.lit(EMPTY).alias("kept_sha256"), F.lit(None).cast("array<struct<start:long,stop:long>>").alias("spans")))
     out = known.select("row", "doc_id", "n_words", "sha").hint("merge").join(found, "row", "left")
-    return out.select("row", "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.when(F.col("copy"), whole).otherwise(F.col("spans")).alias("spans"))
+    return out.select("row", "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256"), F.when(F.col("copy"), whole).otherwise(F.col("spans")).alias("spans"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op7: one row for each row of ``documents``, as ``repeated_passages`` says."""
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
