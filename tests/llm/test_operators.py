@@ -107,6 +107,34 @@ def test_substring(spark, odd, corpus):
     assert substring.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_substring_of_hot_anchors_and_many_shards(spark, corpus, monkeypatch):
+    """Anchors of many places are dealt to several keys and documents to many shards: the result is brute force's."""
+    monkeypatch.setattr(substring, "PLACES", 8)  # read on the driver
+    monkeypatch.setattr(substring, "SHARD", 10)
+    rnd = random.Random(3)
+    line, extra = " ".join(words(25, rnd)), []
+    for i in range(400, 520):  # a very common line, in some texts many times
+        t = words(30, rnd, 5000)
+        extra.append((i, " ".join([*t[: i % 30], *[line] * (1 + (i % 10 == 0) * 40), *t[i % 30 :]])))
+    extra += [(600, extra[0][1]), (601, "  " + extra[0][1].replace(" ", "\n"))]  # copies of equal words
+    docs = corpus + extra
+    shuffled = spark.createDataFrame(docs[::-1], "doc_id long, text string")
+    got = substring.repeated_passages(shuffled)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == brute_passages(docs)
+    # what the anchors leave out of the automata holds no repeated window
+    assert got.where("spans is null and n_removed > 0").count() == 0
+
+
+def test_substring_ties_and_nulls(spark):
+    """Null and repeated doc_ids: the row of the least doc_id stays whole, nulls last; long texts; clashing names."""
+    t = " ".join(f"a{i}" for i in range(30))
+    long = " ".join(f"b{i}" for i in range(60_000))
+    rows = [(None, t, 1), (7, t + " z", 2), (7, t + " y", 3), (3, long, 4), (4, long + " " + t, 5), (None, None, 6)]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("anchor", F.lit(0)))
+    out = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got.collect())
+    assert out == [(False, 3, 60_000, 0), (False, 4, 60_030, 60_000), (False, 7, 31, 30), (False, 7, 31, 30), (True, 0, 0, 0), (True, 0, 30, 30)]
+
+
 def brute_links(rows, least=0.93):
     """{vec_id: (links, least vec_id reachable)} by comparing every two vectors of a label."""
     ids, p, n = [r[0] for r in rows], {r[0]: r[0] for r in rows}, {r[0]: 0 for r in rows}
@@ -287,13 +315,47 @@ def test_nearest_examples_are_exact():
     texts = [" ".join(words(12, rnd, 30) + (["bad"] * rnd.randrange(3) if i % 2 else ["good"] * rnd.randrange(3))) for i in range(300)]
     index = toxicity.Index([(i, i % 2, t) for i, t in enumerate(texts)], {0: 150, 1: 150}, k=5)
     index_all = np.zeros((len(index.ids), len(index.terms)))
-    for (term, _), (at, w) in index.postings.items():
-        index_all[at, term] = w
+    first, at, w = index.postings
+    index_all[at, np.repeat(np.arange(len(index.terms)), np.diff(first))] = w
     for t in texts[:40]:
         v = index._vector(index._counts(t))
         full = index_all[:, v[0]] @ v[1]
         want = np.sort(full[full > 0])[::-1][:5]
-        assert np.allclose(index._near(v)[1], want)
+        assert np.allclose(next(index._nearest([v]))[1], want)
+
+
+def test_quality_is_a_difference_of_plain_sizes():
+    """The feature against zstandard called for each window, and held-out texts told by it."""
+    import zstandard
+
+    rnd = random.Random(2)
+    rows = [(i, i % 2, " ".join(words(40, rnd, 40) if i % 2 else [f"{rnd.randrange(10**6)}" for _ in range(40)])) for i in range(400)]
+    model = compression.Compressors(rows[:300], {0: 150, 1: 150})
+    for y, text in [*[r[1:] for r in rows[300:]], (None, "w1 w2 " * 3000)]:
+        t = text.encode()
+        sizes = []
+        for raw in model.raw:
+            c = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(t[i : i + compression.WINDOW])) for i in range(0, len(t), compression.WINDOW)))
+        assert abs(model.feature(t) - (sizes[0] - sizes[1]) / len(t)) < 0.01
+        assert y is None or (model.score([t])[0] >= 0.5) == y
+    assert model.score([b"", b"  "]).tolist() == [0.5, 0.5]
+
+
+def test_filters_hold_every_ngram(spark):
+    """Lookups against plain sets: no language that contains an n-gram is missing, few others seem to."""
+    rnd = random.Random(5)
+    names = [f"l{i}" for i in range(11)]
+    rows = [(i, " ".join("".join(rnd.choice("abcdefgh"[: 4 + i % 5]) for _ in range(6)) for _ in range(30)), 0, names[i % 11], "s", 1) for i in range(220)]
+    model = language.fit(spark.createDataFrame(rows, DOCS))
+    own = {k: {g for r in rows if r[3] == k for _, _, h, _ in language.ngrams([r[1]]) for g in h.tolist()} for k in names}
+    some = sorted(set().union(*own.values()))
+    false = 0
+    for g, got in zip(some, model.containing(np.array(some, np.uint64)), strict=True):
+        true = {k for k in names if g in own[k]}
+        assert true <= got
+        false += len(got - true)
+    assert false <= 2 * sum(model.false[model.languages.index(k)] * (len(some) - len(own[k])) for k in names) + 5
 
 
 def test_language(spark):
