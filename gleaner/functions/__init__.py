@@ -60,6 +60,12 @@ def half_even(x: Column, digits: int = 1) -> Column:
     return F.rint(x * 10**digits) / 10**digits
 
 
+def to_fixed(x: Column) -> Column:
+    """One decimal, by the exact binary value; exact ties go up, as a browser writes them."""
+    tie = (x * 4 == F.floor(x * 4)) & (F.pmod(x * 4, F.lit(2.0)) == 1)
+    return F.when(tie, F.floor(x * 10 + 0.5) / 10).otherwise(F.call_function("format_number", x, F.lit("0.0")).try_cast("double"))
+
+
 def shortened(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 

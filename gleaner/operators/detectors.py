@@ -32,6 +32,14 @@ def flagged(df: DataFrame, rules: dict[str, Column], error: str) -> DataFrame:
     return df.select(F.col(ID).cast("long").alias("row_id"), F.explode(F.array_compact(hits)).alias("column_id")).select("row_id", "column_id", F.lit(error).alias("error_type"))
 
 
+def flagged_all(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """One scan for all rules (column, error, condition): a row for each that holds."""
+    if not rules:
+        return df.sparkSession.createDataFrame([], ERRORS)
+    hits = F.array(*(F.when(rule, F.struct(F.lit(c).alias("column_id"), F.lit(error).alias("error_type"))) for c, error, rule in rules))
+    return df.select(F.col(ID).cast("long").alias("row_id"), F.explode(F.array_compact(hits)).alias("e")).select("row_id", "e.column_id", "e.error_type")
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
     """Of each column: cells, readable numbers, cells of numeric text, mean, deviation, extremes: one scan, one row to the driver."""
     columns, out = value_columns(df) if columns is None else columns, {}
@@ -54,6 +62,10 @@ def missing_value(df: DataFrame, columns: list[str] | None = None, client: bool
     return flagged(df, {c: is_missing(df, c, trimmed=client) for c in columns}, "missing")
 
 
+def _far(df: DataFrame, stats: dict[str, dict]) -> dict[str, Column]:
+    return {c: F.abs(number(df, c) - F.lit(s["mean"])) > F.lit(SIGMAS * s["sd"]) for c, s in stats.items() if s["numbers"] >= GATE and s["sd"]}
+
+
 def anomaly(df: DataFrame, columns: list[str] | None = None, client: bool = False) -> DataFrame:
     """Numbers farther than two sample deviations from the column's mean, where there are ten or more that differ.
 
@@ -62,9 +74,7 @@ def anomaly(df: DataFrame, columns: list[str] | None = None, client: bool = Fals
     columns = value_columns(df) if columns is None else columns
     if client:
         columns = [c for c in columns if c not in strings(df, columns)]
-    stats = profile(df, columns)
-    rules = {c: F.abs(number(df, c) - F.lit(s["mean"])) > F.lit(SIGMAS * s["sd"]) for c, s in stats.items() if s["numbers"] >= GATE and s["sd"]}
-    return flagged(df, rules, "anomaly")
+    return flagged(df, _far(df, profile(df, columns)), "anomaly")
 
 
 def _cells(df: DataFrame, columns: list[str], value: Callable[[str], Column]) -> DataFrame:
@@ -72,7 +82,7 @@ def _cells(df: DataFrame, columns: list[str], value: Callable[[str], Column]) ->
     return df.select(F.col(ID).cast("long").alias("row_id"), F.explode(rows).alias("c")).select("row_id", "c.column_id", "c.value")
 
 
-def incomplete(df: DataFrame, columns: list[str] | None = None, client: bool = False) -> DataFrame:
+def incomplete(df: DataFrame, columns: list[str] | None = None, client: bool = False, stats: dict[str, dict] | None = None) -> DataFrame:
     """Values of text columns that occur less than three times, in columns of at most ten readable numbers.
 
     A rare value has two rows at most, its least and greatest ID, so no join back is needed.  ``client`` trims values,
@@ -80,7 +90,7 @@ def incomplete(df: DataFrame, columns: list[str] | None = None, client: bool = F
     """
     columns = strings(df, value_columns(df) if columns is None else columns)
     if not client:
-        stats = profile(df, columns)
+        stats = stats or profile(df, columns)
         columns = [c for c in columns if stats[c]["numbers"] <= GATE]
     if not columns:
         return flagged(df, {}, "incomplete")
@@ -92,9 +102,9 @@ def incomplete(df: DataFrame, columns: list[str] | None = None, client: bool = F
     return rare.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("row_id"), "column_id", F.lit("incomplete").alias("error_type"))
 
 
-def majority(df: DataFrame, columns: list[str]) -> dict[str, str]:
+def majority(df: DataFrame, columns: list[str], stats: dict[str, dict] | None = None) -> dict[str, str]:
     """numeric or str: the class of most cells; of equally many, the one with the more frequent value, then numeric."""
-    stats, out, ties = profile(df, columns), {}, []
+    stats, out, ties = stats or profile(df, strings(df, columns)), {}, []
     for c in strings(df, columns):
         a, b = stats[c]["numeric"] or 0, stats[c]["cells"] - (stats[c]["numeric"] or 0)
         out[c] = "numeric" if a > b else "str"
@@ -107,6 +117,10 @@ def majority(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return out
 
 
+def _other_class(df: DataFrame, major: dict[str, str]) -> dict[str, Column]:
+    return {c: is_numeric_text(text(df, c)) != F.lit(k == "numeric") for c, k in major.items()}
+
+
 def datatype_mismatch(df: DataFrame, columns: list[str] | None = None, client: bool = False) -> DataFrame:
     """Cells of text columns that are not of the majority's class; nulls are neutral, typed columns have one class.
 
@@ -115,8 +129,7 @@ def datatype_mismatch(df: DataFrame, columns: list[str] | None = None, client: b
     columns = value_columns(df) if columns is None else columns
     if client:
         return flagged(df, {c: is_numeric_text(text(df, c)) for c in strings(df, columns)}, "mismatch")
-    rules = {c: is_numeric_text(text(df, c)) != F.lit(k == "numeric") for c, k in majority(df, columns).items()}
-    return flagged(df, rules, "mismatch")
+    return flagged(df, _other_class(df, majority(df, columns)), "mismatch")
 
 
 DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"anomaly": anomaly, "incomplete": incomplete, "missing": missing_value, "mismatch": datatype_mismatch}
@@ -127,9 +140,29 @@ def register_detector(name: str, rule: Callable[[DataFrame], DataFrame]) -> None
     DETECTORS[name] = rule
 
 
+_BUILT_IN = dict(DETECTORS)
+
+
 def run_detectors(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    out = None
-    for name in names or list(DETECTORS):
+    """The errors of all (or the named) registered rules; those of the ID and of reserved columns are left out.
+
+    The rules that come with the engine share one profile and, but for rare values, one scan.
+    """
+    names = names or list(DETECTORS)
+    own = [n for n in names if DETECTORS[n] is _BUILT_IN.get(n)]
+    out, columns = None, value_columns(df)
+    if own:
+        stats, rules = (profile(df, columns) if set(own) - {"missing"} else {}), []
+        if "missing" in own:
+            rules += [(c, "missing", is_missing(df, c)) for c in columns]
+        if "anomaly" in own:
+            rules += [(c, "anomaly", rule) for c, rule in _far(df, stats).items()]
+        if "mismatch" in own:
+            rules += [(c, "mismatch", rule) for c, rule in _other_class(df, majority(df, columns, stats)).items()]
+        out = flagged_all(df, rules)
+        if "incomplete" in own:
+            out = out.unionByName(incomplete(df, columns, stats=stats))
+    for name in [n for n in names if n not in own]:
         found = DETECTORS[name](df).where(~F.col("column_id").isin(ID, *RESERVED)).select("row_id", "column_id", "error_type")
         out = found if out is None else out.unionByName(found)
     return out

@@ -16,7 +16,8 @@ NULL = "null"
 
 def column_kinds(df: DataFrame, columns: list[str], stats: dict[str, dict] | None = None) -> dict[str, str]:
     """numeric or categorical; a column without cells is categorical."""
-    stats, major = stats or profile(df, columns), majority(df, columns)
+    stats = stats or profile(df, columns)
+    major = majority(df, columns, stats)
     return {c: "categorical" if not stats[c]["cells"] else ("numeric" if major[c] == "numeric" else "categorical") if c in strings(df, columns) else "numeric" if stats[c]["numbers"] else "categorical" for c in columns}
 
 
@@ -75,7 +76,8 @@ def _grid(axes: list[Axis]) -> DataFrame:
     out = None
     for a, k in zip(axes, ("x", "y"), strict=False):
         one = a.labels.select(F.col("code").alias(f"{k}_bin"), F.col("label").alias(k))
-        out = one if out is None else out.crossJoin(F.broadcast(one))  # every bin by every bin is the result's own size
+        # every bin by every bin is the result's own size; only the bins of a number, which are few, are broadcast
+        out = one if out is None else out.crossJoin(F.broadcast(one) if a.kind == "numeric" else one) if axes[0].kind != "numeric" else F.broadcast(out).crossJoin(one)
     return out
 
 
@@ -88,13 +90,17 @@ def histogram(df: DataFrame, errors: DataFrame, x: str, y: str | None = None, n:
     rows, axes = binned(df, x, y, n, m)
     keys = ["x_bin", "y_bin"][: len(axes)]
     items = rows.groupBy(*keys).agg(F.count("*").alias("items"))
-    own = errors.where(F.col("column_id").isin(*[c for c in (x, y) if c])).select(F.col("row_id").alias(ID), "error_type")
-    bad = own.join(rows, ID).groupBy(*keys, "error_type").agg(F.count("*").alias("n"))
-    bad = bad.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_type", "n")))).alias("errors"))
+    bad = _error_counts(errors, [c for c in (x, y) if c], rows, keys)
     none = F.expr("cast(map() as map<string, bigint>)")
     return _grid(axes).join(items, keys, "left").join(bad, keys, "left").withColumns({"items": F.coalesce("items", F.lit(0)), "errors": F.coalesce("errors", none)})
 
 
+def _error_counts(errors: DataFrame, columns: list[str], rows: DataFrame, keys: list[str]) -> DataFrame:
+    own = errors.where(F.col("column_id").isin(columns)).select(F.col("row_id").alias(ID), "error_type")
+    bad = own.join(rows, ID).groupBy(*keys, "error_type").agg(F.count("*").alias("n"))
+    return bad.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("error_type", "n")))).alias("errors"))
+
+
 def histogram_errors(hist: DataFrame) -> DataFrame:
     """The error counts of a histogram in long form: its bins, error_type, n."""
     bins = [c for c in hist.columns if c not in ("items", "errors")]
@@ -113,13 +119,45 @@ def bar_segments(hist: DataFrame) -> DataFrame:
     return rows.select(*bins, F.col("s.segment").alias("segment"), bottom.alias("bottom"), (bottom + F.col("s.n")).alias("top"))
 
 
-def mixed_histogram(df: DataFrame, column: str, n: int = 10) -> DataFrame:
-    """(class, x_bin, x, items): numbers of a column in equal bins, and every other value as a category."""
+def _mixed(df: DataFrame, column: str, n: int, k: str) -> list[Column]:
+    """Of each cell: class, bin if it is a number, text if it is not; null cells have no class."""
     v, s = number(df, column), profile(df, [column])[column]
     e = edges(s["min"], s["max"], n) if s["numbers"] else []
     code = sum((F.when(v > F.lit(x), 1).otherwise(0) for x in e[1:-1]), F.lit(0)).cast("long")
-    cells = df.where(F.col(f"`{column}`").isNotNull()).select(F.when(v.isNotNull(), "numeric").otherwise("categorical").alias("class"), F.when(v.isNotNull(), code).alias("x_bin"), F.when(v.isNull(), text(df, column)).alias("x"))
-    return cells.groupBy("class", "x_bin", "x").agg(F.count("*").alias("items"))
+    other = F.col(f"`{column}`").isNotNull()
+    return [F.when(v.isNotNull(), "numeric").when(other, "categorical").alias(f"{k}_class"), F.when(v.isNotNull(), code).alias(f"{k}_bin"), F.when(v.isNull(), text(df, column)).alias(k)]
+
+
+def mixed_histogram(df: DataFrame, column: str, n: int = 10, errors: DataFrame | None = None) -> DataFrame:
+    """(class, x_bin, x, items[, errors]): numbers of a column in equal bins, and every other value as a category."""
+    rows = df.select(ID, *_mixed(df, column, n, "x")).withColumnRenamed("x_class", "class").where("class is not null")
+    return _with_errors(rows, errors, [column], ["class", "x_bin", "x"])
+
+
+def _with_errors(rows: DataFrame, errors: DataFrame | None, columns: list[str], keys: list[str]) -> DataFrame:
+    items = rows.groupBy(*keys).agg(F.count("*").alias("items"))
+    if errors is None:
+        return items
+    bad = _error_counts(errors, columns, rows, keys)
+    same = [items[k].eqNullSafe(bad[k]) for k in keys]
+    none = F.expr("cast(map() as map<string, bigint>)")
+    return items.join(bad, same, "left").select(*(items[k] for k in keys), "items", F.coalesce("errors", none).alias("errors"))
+
+
+def mixed_histogram_2d(df: DataFrame, x: str, y: str, n: int = 10, m: int = 10, errors: DataFrame | None = None) -> DataFrame:
+    """(x_class, x_bin, x, y_class, y_bin, y, items[, errors]) of columns that mix numbers and other values.
+
+    Pairs of bins of numbers are all there, empty ones too; pairs with a category are there where they occur.
+    """
+    rows = df.select(ID, *_mixed(df, x, n, "x"), *_mixed(df, y, m, "y")).where("x_class is not null and y_class is not null")
+    keys = ["x_class", "x_bin", "x", "y_class", "y_bin", "y"]
+    found = _with_errors(rows, errors, [x, y], keys)
+    spark, number_ = df.sparkSession, F.lit("numeric")
+    grid = spark.range(n).select(number_.alias("x_class"), F.col("id").alias("x_bin"), F.lit(None).cast("string").alias("x")).crossJoin(F.broadcast(spark.range(m).select(number_.alias("y_class"), F.col("id").alias("y_bin"), F.lit(None).cast("string").alias("y"))))
+    if not profile(df, [x, y])[x]["numbers"] or not profile(df, [y])[y]["numbers"]:
+        return found
+    empty = grid.join(found.where("x_class = 'numeric' and y_class = 'numeric'").select("x_bin", "y_bin"), ["x_bin", "y_bin"], "left_anti").select(*keys, F.lit(0).cast("long").alias("items"))
+    return found.unionByName(empty if errors is None else empty.withColumn("errors", F.expr("cast(map() as map<string, bigint>)")))
 
 
 def crosstab(df: DataFrame, a: str, g: str) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import number, text
 from gleaner.operators.histogram import NULL, column_kinds
-from gleaner.sources import ID
+from gleaner.sources import ID, kept
 
 
 def sample(df: DataFrame, errors: DataFrame, x: str, y: str, bad: int = 30, total: int = 100, seed: str = "0") -> DataFrame:
     """(ID, has_error): up to ``bad`` rows with an error in x or y, then others up to ``total``, by md5 of ID and seed."""
-    own = errors.where(F.col("column_id").isin(x, y)).select(F.col("row_id").alias(ID)).distinct()
+    own = kept(errors.where(F.col("column_id").isin(x, y)).select(F.col("row_id").alias(ID)).distinct())  # read twice
     order = [F.md5(F.concat(F.col(ID).cast("string"), F.lit(seed)).cast("binary")), F.col(ID)]
     first = df.select(ID).join(own, ID, "left_semi").orderBy(*order).limit(bad)
     rest = df.select(ID).join(own, ID, "left_anti").orderBy(*order).limit(total)
@@ -31,14 +31,23 @@ def _by(*columns: str):
 
 def entries(df: DataFrame, errors: DataFrame, x: str, y: str, **limits) -> DataFrame:
     """(ID, xType, yType, x, y, errors) of the sample: values as text, null as the word, all errors of either column."""
-    ids, kinds = sample(df, errors, x, y, **limits), column_kinds(df, [x, y])
-    own = errors.where(F.col("column_id").isin(x, y)).join(F.broadcast(ids.select(F.col(ID).alias("row_id"))), "row_id", "left_semi")
+    errors, kinds = kept(errors.where(F.col("column_id").isin(x, y))), column_kinds(df, [x, y])
+    ids = kept(sample(df, errors, x, y, **limits))  # at most as many rows as the limits say
+    own = errors.join(F.broadcast(ids.select(F.col(ID).alias("row_id"))), "row_id", "left_semi")
     lists = own.groupBy(F.col("row_id").alias(ID)).agg(F.array_sort(F.collect_list("error_type")).alias("errors"))
     value = lambda c: F.coalesce(text(df, c), F.lit(NULL))
     rows = df.select(ID, value(x).alias("x"), value(y).alias("y")).join(F.broadcast(ids.select(ID)), ID, "left_semi")
     return rows.join(lists, ID, "left").select(ID, F.lit(kinds[x]).alias("xType"), F.lit(kinds[y]).alias("yType"), "x", "y", F.coalesce("errors", F.expr("cast(array() as array<string>)")).alias("errors"))
 
 
+def mixed_entries(df: DataFrame, errors: DataFrame, x: str, y: str, **limits) -> DataFrame:
+    """``entries`` whose xType and yType are those of the cell: a column may mix numbers and other values."""
+    out = entries(df, errors, x, y, **limits)
+    kind = lambda c: F.when(number(df, c).isNotNull(), "numeric").otherwise("categorical")
+    kinds = df.select(ID, kind(x).alias("xType"), kind(y).alias("yType"))
+    return kinds.join(F.broadcast(out.drop("xType", "yType")), ID).select(out.columns)
+
+
 def scatter_scale(df: DataFrame, column: str) -> DataFrame:
     """Numeric: (low, high), whole numbers, high one above; categorical: (label) sorted, with null's word if there are nulls."""
     if column_kinds(df, [column])[column] == "numeric":

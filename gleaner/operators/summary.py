@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import number, text
 from gleaner.operators.detectors import profile, value_columns
 from gleaner.operators.histogram import column_kinds
-from gleaner.sources import ID
+from gleaner.sources import ID, kept, numbered
 
 #: Which error a cell shows that has several.
 PRIORITY = ("anomaly", "mismatch", "missing", "incomplete")
@@ -85,8 +85,6 @@ def ranking(errors: DataFrame, df: DataFrame, columns: list[str], by: str = "tot
     all_ = F.broadcast(df.sparkSession.createDataFrame([(c,) for c in columns], "column_id string"))
     own = F.sum(F.when(F.col("error_type") == by, F.col("fraction")).otherwise(0.0)).alias("share")
     out = all_.join(shares, "column_id", "left").groupBy("column_id").agg(F.coalesce(F.sum("fraction"), F.lit(0.0)).alias("total"), F.coalesce(own, F.lit(0.0)).alias("share"))
-    from pyspark.sql import Window
-
     order = {"total": [F.desc("total")], "none": [F.asc("total")]}.get(by, [F.desc("share"), F.desc("total")])
     return out.withColumn("rank", F.row_number().over(Window.orderBy(*order, "column_id")))  # a row a column
 
@@ -101,24 +99,50 @@ def category_order(df: DataFrame, column: str) -> DataFrame:
     values = df.where(t.isNotNull()).select(t.alias("value")).distinct()
     special = F.array_position(F.array(F.lit("Low"), F.lit("Medium"), F.lit("High")), F.col("value"))
     lead = F.regexp_extract("value", "^([0-9]+)", 1).try_cast("long")
-    from pyspark.sql import Window
-
-    only = F.min(special).over(Window.partitionBy()) > 0
-    return values.withColumn("place", F.row_number().over(Window.orderBy(F.when(only, special), lead.asc_nulls_last(), "value")))
+    only = bool(values.agg(F.min(F.coalesce(special, F.lit(0)))).first()[0])
+    keys = values.select("value", (special if only else F.lit(0)).alias("a"), lead.isNull().alias("b"), lead.alias("c"))
+    return numbered(keys, ["a", "b", "c", "value"], "place").select("value", "place")
+
+
+def quantiles(df: DataFrame, value: Column, shares: dict[str, float], group: Column | None = None) -> DataFrame:
+    """(group, one column for each of ``shares``): exact interpolated quantiles of each group's values.
+
+    Values are counted, dealt by range and summed before each range, so no task holds a group and no buffer its values.
+    """
+    counts = df.select(F.lit(0).alias("group") if group is None else group.alias("group"), value.alias("v")).where("v is not null").groupBy("group", "v").agg(F.count("*").alias("n"))
+    rows = kept(counts.repartitionByRange("group", "v").withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("group", "part").agg(F.sum("n").alias("s"))
+    parts = Window.partitionBy("group").orderBy("part")  # a row a range
+    sums = sums.select(F.col("group").alias("g"), F.col("part").alias("p"), (F.sum("s").over(parts) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy("group")).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("group", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("group").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p"))
+    ranked = rows.withColumn("upto", inside).join(F.broadcast(sums) if group is None else sums, same).select("group", "v", "n", "total", (F.col("before") + F.col("upto")).alias("upto"))
+    aggs = []
+    for name, p in shares.items():
+        at = (F.col("total") - 1) * F.lit(p)
+        low, high = F.floor(at), F.ceil(at)
+        pick = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v")))
+        a, b = pick(low), pick(high)
+        aggs.append((a + (b - a) * F.max(at - low)).alias(name))
+    return ranked.groupBy("group").agg(*aggs)
 
 
 def box_overall(df: DataFrame, column: str) -> DataFrame:
     """One row: mean, deviation, median, and the median absolute deviation from the median."""
     n = number(df, column)
-    one = df.agg(F.avg(n).alias("mean"), F.stddev_samp(n).alias("stdev"), F.median(n).alias("median"))
-    mad = df.select(n.alias("v")).crossJoin(F.broadcast(one.select("median"))).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    return one.crossJoin(F.broadcast(mad))
+    one = df.agg(F.avg(n).alias("mean"), F.stddev_samp(n).alias("stdev"))
+    middle = quantiles(df, n, {"median": 0.5}).first()
+    m = middle["median"] if middle else None
+    mad = quantiles(df, F.abs(n - F.lit(m).cast("double")), {"mad": 0.5}).first()
+    return one.select("*", F.lit(m).cast("double").alias("median"), F.lit(mad["mad"] if mad else None).cast("double").alias("mad"))
 
 
 def box_groups(df: DataFrame, column: str, group: str) -> DataFrame:
-    """(group, min, q1, median, q3, max, mean) with exact, interpolated quartiles."""
+    """(group, min, q1, median, q3, max, mean) with exact, interpolated quartiles; a group without numbers has nulls."""
     n = number(df, column)
-    return df.groupBy(F.col(group).alias("group")).agg(F.min(n).alias("min"), F.percentile(n, 0.25).alias("q1"), F.median(n).alias("median"), F.percentile(n, 0.75).alias("q3"), F.max(n).alias("max"), F.avg(n).alias("mean"))
+    rest = df.groupBy(F.col(f"`{group}`").alias("group")).agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"))
+    boxes = quantiles(df, n, {"q1": 0.25, "median": 0.5, "q3": 0.75}, F.col(f"`{group}`")).withColumnRenamed("group", "g")
+    return rest.join(boxes, F.col("group").eqNullSafe(F.col("g")), "left").select("group", "min", "q1", "median", "q3", "max", "mean")
 
 
 def significant_groups(df: DataFrame, column: str, group: str) -> DataFrame:

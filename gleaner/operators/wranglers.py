@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions import NUMBERS, half_even, number
+from gleaner.functions import NUMBERS, half_even, number, to_fixed
 from gleaner.sources import ID
 
 Chosen = list | DataFrame
@@ -38,10 +38,24 @@ def average(df: DataFrame, column: str) -> DataFrame:
     return top
 
 
-def impute(df: DataFrame, column: str, chosen: Chosen) -> DataFrame:
+def client_average(df: DataFrame, column: str) -> DataFrame:
+    """One row (value): as ``average``, but to one decimal by the binary value, and of equally frequent values the last.
+
+    Values come whole numbers first, by size, then the others by first ID.
+    """
+    if isinstance(df.schema[column].dataType, (*NUMBERS, T.BooleanType)):
+        n = number(df, column)
+        return df.agg(F.coalesce(to_fixed(F.avg(F.when(n > 0, n))), F.lit(0.0)).alias("value"))
+    c = F.col(f"`{column}`")
+    counts = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("n"), F.min(ID).alias("first"))
+    whole = F.when(F.col("value").cast("string").rlike("^(0|[1-9][0-9]{0,9})$"), F.col("value").cast("string").try_cast("long"))
+    return counts.agg(F.max_by("value", F.struct("n", whole.isNull(), whole, "first")).alias("value"))
+
+
+def impute(df: DataFrame, column: str, chosen: Chosen, client: bool = False) -> DataFrame:
     """The column's average in the chosen rows, whatever they held; no average (only nulls) changes nothing."""
     ids, kind = _ids(df, chosen), df.schema[column].dataType
-    value = F.broadcast(average(df, column).withColumnRenamed("value", "__value"))
+    value = F.broadcast((client_average if client else average)(df, column).withColumnRenamed("value", "__value"))
     whole = isinstance(kind, NUMBERS) and not isinstance(kind, (T.FloatType, T.DoubleType))
     c = F.col(f"`{column}`")
     if whole or isinstance(kind, T.BooleanType):
@@ -51,7 +65,7 @@ def impute(df: DataFrame, column: str, chosen: Chosen) -> DataFrame:
     return out.select(*(new if x == column else F.col(f"`{x}`") for x in df.columns))
 
 
-WRANGLERS: dict[str, Callable[..., DataFrame]] = {"remove": remove_rows, "impute": lambda df, ids, column: impute(df, column, ids)}
+WRANGLERS: dict[str, Callable[..., DataFrame]] = {"remove": remove_rows, "impute": lambda df, ids, column, client=False: impute(df, column, ids, client)}
 
 
 def register_wrangler(name: str, repair: Callable[..., DataFrame]) -> None:

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import clean_name
+from gleaner.functions import clean_name, shortened
 from gleaner.operators import detectors as D
 from gleaner.operators import histogram as H
 from gleaner.operators import scatter as S
 from gleaner.operators import summary as A
 from gleaner.operators import wranglers as W
+from gleaner.plans import payload as P
 from gleaner.plans.session import Session
-from gleaner.sources import ID, head, id_range, slice_both, with_id
+from gleaner.sources import ID, head, id_range, ingest, load, read_csv, shared_folder, slice_both, with_id
+from gleaner.streaming import fit_limits
+from gleaner.streaming import stream_errors as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,10 +222,10 @@ def error_distribution_wide(s, d):
     return A.error_distribution_wide(D.run_detectors(df), df, ["user_txt", "kind", "value"])
 
 
-@query(_DIST + "select column_id, string_agg(error_type, ',' order by error_type) as kinds, count(*) as n from dist group by column_id")
+@query(_DIST + "select column_id, error_type, fraction from dist")
 def error_maps(s, d):
     df = ev(s, d)
-    return A.error_maps(D.run_detectors(df), df).select("column_id", F.array_join(F.array_sort(F.map_keys("errors")), ",").alias("kinds"), F.size("errors").cast("long").alias("n"))
+    return A.error_maps(D.run_detectors(df), df).select("column_id", F.explode("errors").alias("error_type", "fraction"))
 
 
 @query(EVE + "select row_id, count(distinct column_id) as cells from errs group by row_id")
@@ -241,7 +244,10 @@ def cell_priority(s, d):
     return A.cell_priority(errors(s, d))
 
 
-@query("select * from (values ('user_txt', 'numeric'), ('kind', 'categorical'), ('tag', 'categorical'), ('value', 'numeric'), ('blank', 'categorical')) t(column_id, kind)")
+_KIND = " union all ".join(f"select '{c}' as column_id, case when count({c}) filter (regexp_full_match({c}, '[0-9]+([.][0-9]+)?')) > count({c}) / 2 then 'numeric' else 'categorical' end as kind from ev" for c in ("user_txt", "kind", "tag", "blank"))
+
+
+@query(EV.rstrip(", ") + f" {_KIND} union all select 'value', case when count(value) > 0 then 'numeric' else 'categorical' end from ev")
 def column_kind(s, d):
     df = ev(s, d)
     return s.createDataFrame([*H.column_kinds(df, D.value_columns(df)).items()], "column_id string, kind string")
@@ -348,11 +354,13 @@ def hist2d_errors(s, d):
     return H.histogram_errors(H.histogram(df, D.run_detectors(df), "value", "kind")).select("x_bin", "y", "error_type", "n")
 
 
-@query(EVE + f"""select b as x_bin, segment, sum(n) - 0 as height from (select b, 'anomaly' as segment, count(*)::bigint n from errs join {bins('value', 10, 'ev')} q on row_id = q."ID" where column_id = 'value' group by 1
-union all select b, 'none', count(*) - count(row_id) from {bins('value', 10, 'ev')} q left join errs on row_id = q."ID" and column_id = 'value' group by 1) where n > 0 group by 1, 2""".replace("sum(n) - 0", "cast(sum(n) as bigint)"))
+@query(EVE + f""", q as (select "ID", b from {bins('value', 10, 'ev')}), c as (select b, count(*) as items from q group by 1),
+e as (select b, error_type as segment, count(*) as n from errs join q on row_id = q."ID" where column_id = 'value' group by 1, 2),
+a as (select b, segment, n, 0 as last from e union all select c.b, 'none', items - coalesce(t, 0), 1 from c left join (select b, sum(n) t from e group by 1) using (b) where items > coalesce(t, 0))
+select b as x_bin, segment, cast(coalesce(sum(n) over (partition by b order by last, segment rows between unbounded preceding and 1 preceding), 0) as bigint) as bottom, cast(sum(n) over (partition by b order by last, segment rows unbounded preceding) as bigint) as top from a""")
 def bar_segments(s, d):
     df = ev(s, d)
-    return H.bar_segments(H.histogram(df, D.run_detectors(df), "value")).select("x_bin", "segment", (F.col("top") - F.col("bottom")).alias("height"))
+    return H.bar_segments(H.histogram(df, D.run_detectors(df), "value")).select("x_bin", "segment", "bottom", "top")
 
 
 @query("select i as code, cast(trunc(round(mn + i * (mx - mn) / 10 - case when i = 0 then 0.001 * (mx - mn) else 0 end, 3)) as bigint) as x0, cast(trunc(round(mn + (i + 1) * (mx - mn) / 10, 3)) as bigint) as x1 from range(10) g(i), (select min(o_totalprice) mn, max(o_totalprice) mx from orders)")
@@ -511,9 +519,11 @@ def box_stats_group(s, d):
     return A.box_groups(orders(s, d), "o_totalprice", "o_orderpriority").select("group", "min", F.round("q1", 6).alias("q1"), F.round("median", 6).alias("median"), F.round("q3", 6).alias("q3"), "max", F.round("mean", 4).alias("mean"))
 
 
-@query("with m as (select median(p_size) a from part), mad as (select median(abs(p_size - a)) b from part, m) select p_brand as \"group\", median(p_size) as median from part group by 1 having abs(median(p_size) - (select a from m)) > 2 * (select b from mad)")
+@query("""with t as (select p_brand, case when p_brand in ('Brand#11', 'Brand#23') then p_size * 100 else p_size end as v from part), m as (select median(v) a from t), mad as (select median(abs(v - a)) b from t, m)
+select p_brand as "group", median(v) as median from t group by 1 having abs(median(v) - (select a from m)) > 2 * (select b from mad)""")
 def significant_groups(s, d):
-    return A.significant_groups(part(s, d), "p_size", "p_brand")
+    df = part(s, d).withColumn("v", F.when(F.col("p_brand").isin("Brand#11", "Brand#23"), F.col("p_size") * 100).otherwise(F.col("p_size")))
+    return A.significant_groups(df, "v", "p_brand")
 
 
 @query(EV.rstrip(", ") + " select round(avg(v), 6) as mean, min(v) as min, max(v) as max, cast(count(user_txt) - count(v) as bigint) as others, (select user_txt from ev where not regexp_full_match(user_txt, '[0-9]+') group by 1 order by count(*) desc, 1 desc limit 1) as other_mode from (select user_txt, case when regexp_full_match(user_txt, '[0-9]+') then cast(user_txt as double) end v from ev)")
@@ -542,3 +552,207 @@ def session_redo(s, d):
     out = _session(s, d)
     out.undo()
     return out.redo().table.select(ID, "kind")
+
+
+@query(EV.rstrip(", ") + f" select {_EV5} from ev")
+def session_original(s, d):
+    return _session(s, d).original.table.select(ID, "user_txt", "kind", "tag", "value")
+
+
+@query(_without("event_id % 7 <> 0") + " where row_id between 100 and 900")
+def session_slice(s, d):
+    """The errors of the current version's slice."""
+    df = ev(s, d)
+    out = Session(df)
+    out.apply("remove", df.where("ID % 7 = 0").select(ID))
+    return out.window(100, 900)[1]
+
+
+@query(EV.rstrip(", ") + f' select "ID", case when "ID" % 10 = 0 then m else value end as value from ev, {_MEAN}')
+def preview_impute(s, d):
+    """A preview leaves the history as it is."""
+    df = ev(s, d)
+    out = Session(df)
+    seen = out.preview("impute", df.where("ID % 10 = 0").select(ID), column="value")
+    if out.at or len(out.versions) > 1:
+        raise AssertionError("a preview must not be a step")
+    return seen.table.select(ID, "value")
+
+
+# tables in and out
+
+
+def _customer_csv(s, d) -> str:
+    """The customers as several CSV files, in order of key."""
+    path = shared_folder(s) + "/1 Customers.csv"
+    customer_ = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    customer_.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.csv(path, header=True)
+    return path
+
+
+_CSV = "select row_number() over (order by c_custkey) as \"ID\", c_custkey, c_name, c_acctbal::double as c_acctbal, c_mktsegment from customer"
+
+
+@query(_CSV)
+def ingest_csv(s, d):
+    """Upload, number in file order with inferred types, save and load."""
+    folder = shared_folder(s)
+    name = ingest(s, _customer_csv(s, d), folder)
+    return load(s, name, folder)[0].select(ID, F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+
+
+@query(f"with t as ({_CSV}) select \"ID\" as row_id, 'c_name' as column_id, 'incomplete' as error_type from t where c_name in (select c_name from t group by 1 having count(*) < 3) union all select \"ID\", 'c_acctbal', 'anomaly' from t, (select avg(c_acctbal) m, stddev_samp(c_acctbal) s from t) where abs(c_acctbal - m) > 2 * s union all select \"ID\", 'c_custkey', 'anomaly' from t, (select avg(c_custkey) m, stddev_samp(c_custkey) s from t) where abs(c_custkey - m) > 2 * s")
+def ingest_csv_errors(s, d):
+    folder = shared_folder(s)
+    return load(s, ingest(s, _customer_csv(s, d), folder), folder)[1]
+
+
+@query(f"with t as ({_CSV}), r as (select * from t where \"ID\" not in (3, 5, 8)), a as (select round_even(avg(c_acctbal) filter (c_acctbal > 0), 1) as m from r) select \"ID\"::bigint as \"ID\", c_custkey, case when \"ID\" in (1, 2, 4) then m else c_acctbal end as c_acctbal from r, a")
+def export_script_replay(s, d):
+    """The exported script, run on the CSV file, gives the session's table."""
+    source, target = _customer_csv(s, d), shared_folder(s)
+    session = Session(with_id(read_csv(s, source, typed=True)))
+    session.apply("remove", [3, 5, 8])
+    session.apply("impute", [1, 2, 4], column="c_acctbal")
+    exec(compile(session.script(source, target), "script", "exec"), {})  # noqa: S102  our own text
+    out = read_csv(s, target, typed=True)
+    return out.select(F.col(ID).cast("long").alias(ID), F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query('select row_number() over (order by p_partkey) as "ID", p_partkey as "Original_ID", p_brand from part union all select (select count(*) from part) + 1, 1, \'again\'')
+def assign_id_file_order(s, d):
+    """An ID that is not unique is kept aside, and rows are numbered as they lie in their file."""
+    path = shared_folder(s)
+    own = part(s, d).select(ID, "p_brand").unionByName(s.createDataFrame([(1, "again")], "ID long, p_brand string"))
+    last = F.when(F.col("p_brand") == "again", 1).otherwise(0)
+    own.coalesce(1).sortWithinPartitions(last, ID).write.parquet(path)
+    return with_id(s.read.parquet(path)).select(ID, "Original_ID", "p_brand")
+
+
+# extensions, registries, summaries of a range
+
+
+@query(EV.rstrip(", ") + " select \"ID\" as row_id, 'tag' as column_id, 'long' as error_type from ev where length(tag) > 6")
+def custom_detector(s, d):
+    D.register_detector("long", lambda df: D.flagged(df, {"tag": F.length("tag") > 6}, "long"))
+    try:
+        return D.run_detectors(ev(s, d), ["long"])
+    finally:
+        D.DETECTORS.pop("long")
+
+
+@query(EVE + "select row_id, column_id, error_type from errs where error_type in ('missing', 'incomplete')")
+def detectors_by_name(s, d):
+    return D.run_detectors(ev(s, d), ["incomplete", "missing"])
+
+
+@query(EV.rstrip(", ") + " select \"ID\", case when \"ID\" % 5 = 0 then 0 else value end as value from ev")
+def custom_wrangler(s, d):
+    def zero(df, ids, column):
+        hit = ids.select(F.col(ID).alias("hit"))
+        return df.join(hit, df[ID] == hit["hit"], "left").withColumn(column, F.when(F.col("hit").isNotNull(), 0.0).otherwise(F.col(column))).drop("hit")
+
+    W.register_wrangler("zero", zero)
+    try:
+        df = ev(s, d)
+        return Session(df).preview("zero", df.where("ID % 5 = 0").select(ID), column="value").table.select(ID, "value")
+    finally:
+        W.WRANGLERS.pop("zero")
+
+
+_CLIENT_MODE = "(select kind as m from ev where kind is not null group by kind order by count(*) desc, min(\"ID\") desc limit 1)"
+
+
+@query(EV.rstrip(", ") + f" select ev.\"ID\", case when \"ID\" % 71 = 0 then a.m else kind end as kind, case when \"ID\" % 71 = 0 then b.m else value end as value from ev, {_CLIENT_MODE} a, (select cast(printf('%.1f', avg(value) filter (value > 0)) as double) as m from ev) b")
+def impute_client(s, d):
+    df = ev(s, d)
+    ids = df.where("ID % 71 = 0").select(ID)
+    return W.WRANGLERS["impute"](W.WRANGLERS["impute"](df, ids, "kind", client=True), ids, "value", client=True).select(ID, "kind", "value")
+
+
+@query(EVE + """, t as (select * from ev where "ID" between 1 and 500), e as (select * from errs where row_id between 1 and 500)
+select 'ID' as column_id, 'numeric' as kind, round(avg("ID"), 6) as mean, min("ID")::double as min, max("ID")::double as max, null as mode, 0 as kinds_of_error from t
+union all select 'value', 'numeric', round(avg(value), 6), min(value), max(value), null, (select count(distinct error_type) from e where column_id = 'value') from t
+union all select 'user_txt', 'numeric', round(avg(v), 6), min(v), max(v), null, (select count(distinct error_type) from e where column_id = 'user_txt') from (select try_cast(user_txt as double) v from t)
+union all select c, 'categorical', null, null, null, (select v from (select coalesce(x, 'N/A') v, count(*) n from (select case c when 'kind' then kind when 'tag' then tag else blank end x from t) group by 1) order by n desc, v limit 1), (select count(distinct error_type) from e where column_id = c) from (values ('kind'), ('tag'), ('blank')) u(c)""")
+def attribute_summary_range(s, d):
+    """Kinds, statistics and error maps of a range of rows, in one relation."""
+    df = ev(s, d)
+    got = Session(df, D.run_detectors(df)).summary(1, 500)
+    kinds = F.broadcast(s.createDataFrame([*got["kinds"].items()], "column_id string, kind string"))
+    stats = got["numeric"].select("column_id", F.round("mean", 6).alias("mean"), "min", "max", F.lit(None).cast("string").alias("mode"))
+    stats = stats.unionByName(got["categorical"].select("column_id", "mode"), allowMissingColumns=True)
+    maps = got["errors"].select("column_id", F.size("errors").cast("long").alias("kinds_of_error"))
+    return kinds.join(stats, "column_id").join(maps, "column_id", "left").na.fill(0, ["kinds_of_error"])
+
+
+@query("select distinct c_name, case when length(c_name) > 9 then substr(c_name, 1, 9) || '...' else c_name end as short from customer")
+def shortened_text(s, d):
+    return customer(s, d).select("c_name", shortened(F.col("c_name"), 9).alias("short")).distinct()
+
+
+@query("select a as x, b as y, case when i = j then 'histogram' when j < i then 'scatter' else 'heatmap' end as chart from (values ('kind', 0), ('value', 1), ('tag', 2)) t(a, i), (values ('kind', 0), ('value', 1), ('tag', 2)) u(b, j)")
+def plot_matrix(s, d):
+    rows = [(x, y, chart) for line in P.plot_matrix(["kind", "value", "tag"]) for chart, x, y in line]
+    return s.createDataFrame(rows, "x string, y string, chart string")
+
+
+@query(EVE + "select row_id, column_id, error_type from errs where column_id in ('user_txt', 'kind') and error_type = 'missing' or column_id = 'value' and error_type = 'anomaly'")
+def stream_errors(s, d):
+    """The row-local rules on a stream of the events, with limits fitted on the batch."""
+    work = shared_folder(s)
+    ev(s, d).write.parquet(f"{work}/in")
+    limits = fit_limits(ev(s, d), ["value"])
+    stream = s.readStream.schema(ev(s, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    run = streamed(stream, limits, ["user_txt", "kind"]).writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema(D.ERRORS).parquet(f"{work}/out")
+
+
+# columns that mix numbers and text
+
+_MIX = EVE + """, q as (select "ID", kind, user_txt, value, try_cast(user_txt as double) v from ev), m as (select min(v) a, max(v) b, min(value) c, max(value) d from q),
+z as (select "ID", case when v is not null then 'numeric' when user_txt is not null then 'categorical' end xc, case when v is not null then len([i for i in range(1, 10) if a + i * (b - a) / 10 < v]) else -1 end xb, case when v is null then coalesce(user_txt, '') else '' end x,
+case when kind is not null then 'categorical' end kc, coalesce(kind, '') k, case when value is not null then 'numeric' end vc, case when value is not null then len([i for i in range(1, 10) if c + i * (d - c) / 10 < value]) else -1 end vb from q, m) """
+
+
+@query(_MIX + "select xc as class, xb as x_bin, x, error_type, count(*) as n from z join errs on row_id = z.\"ID\" where xc is not null and column_id = 'user_txt' group by all")
+def hist1d_mixed_errors(s, d):
+    df = ev(s, d)
+    out = H.mixed_histogram(df, "user_txt", errors=D.run_detectors(df))
+    return out.select("class", F.coalesce("x_bin", F.lit(-1)).alias("x_bin"), F.coalesce("x", F.lit("")).alias("x"), F.explode("errors").alias("error_type", "n"))
+
+
+@query(_MIX + "select xc as x_class, xb as x_bin, x, kc as y_class, k as y, count(*) as items from z where xc is not null and kc is not null group by all")
+def hist2d_mixed_observed(s, d):
+    out = H.mixed_histogram_2d(ev(s, d), "user_txt", "kind")
+    return out.select("x_class", F.coalesce("x_bin", F.lit(-1)).alias("x_bin"), F.coalesce("x", F.lit("")).alias("x"), "y_class", "y", "items")
+
+
+@query(_MIX + ", o as (select xc, xb, x, vb, count(*) n from z where xc is not null and vc is not null group by all) select coalesce(xc, 'numeric') as x_class, coalesce(xb, i) as x_bin, coalesce(x, '') as x, coalesce(vb, j) as y_bin, coalesce(n, 0) as items from (select i, j from range(10) g(i), range(10) h(j)) full join o on xc = 'numeric' and xb = i and vb = j")
+def hist2d_mixed_grid(s, d):
+    out = H.mixed_histogram_2d(ev(s, d), "user_txt", "value")
+    return out.select("x_class", F.coalesce("x_bin", F.lit(-1)).alias("x_bin"), F.coalesce("x", F.lit("")).alias("x"), "y_bin", "items")
+
+
+@query(EVE + """, own as (select distinct row_id from errs where column_id in ('user_txt', 'value')),
+a as (select "ID" from ev where "ID" in (select row_id from own) order by md5("ID" || '0'), "ID" limit 30),
+b as (select "ID" from ev where "ID" not in (select row_id from own) order by md5("ID" || '0'), "ID" limit (select greatest(0, 100 - count(*)) from a))
+select ev."ID", case when try_cast(user_txt as double) is not null then 'numeric' else 'categorical' end as "xType", case when value is not null then 'numeric' else 'categorical' end as "yType", coalesce(user_txt, 'null') as x from ev where "ID" in (select * from a union all select * from b)""")
+def scatter_mixed(s, d):
+    df = ev(s, d)
+    return S.mixed_entries(df, D.run_detectors(df), "user_txt", "value").select(ID, "xType", "yType", "x")
+
+
+@query("select v as value, row_number() over (order by case v when 'Low' then 1 when 'Medium' then 2 else 3 end) as place from (values ('High'), ('Low'), ('Medium')) t(v)")
+def category_order_levels(s, d):
+    level = F.element_at(F.array(F.lit("Low"), F.lit("Medium"), F.lit("High")), F.pmod("p_partkey", F.lit(3)).cast("int") + 1)
+    df = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias(ID), "p_partkey").withColumn("level", level)
+    return A.category_order(df, "level").select("value", F.col("place").cast("long").alias("place"))
+
+
+@query("select v as value, row_number() over (order by try_cast(nullif(regexp_extract(v, '^([0-9]+)', 1), '') as bigint) nulls last, v) as place from (select distinct o_orderpriority v from orders union select distinct o_orderstatus from orders)")
+def category_order_text(s, d):
+    both = orders(s, d)
+    df = both.select(ID, F.col("o_orderpriority").alias("v")).unionByName(both.select(ID, F.col("o_orderstatus").alias("v")))
+    return A.category_order(df, "v").select("value", F.col("place").cast("long").alias("place"))
