@@ -78,6 +78,8 @@ def _pieces(content, end: int, size: int):
                 out += [(doc, k, s, min(size, len(x) - s), zlib.crc32(x[s : s + size].tobytes())) for k, s in enumerate(range(0, len(x), size))]
             cols = [*zip(*out, strict=True)] or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+            del out, cols
+        ids.forget()
         give_back()
 
     return run

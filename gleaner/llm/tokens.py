@@ -78,6 +78,11 @@ class WordIds:
         return out
 
 
+    def forget(self) -> None:
+        """Empty the caches, which would stand beside the next stage's memory: Spark keeps its workers."""
+        self.chunks, self.stems = {}, {}
+
+
 _loaded: dict[int, WordIds] = {}
 
 

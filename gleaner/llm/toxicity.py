@@ -64,7 +64,7 @@ class BlockMax:
 
     def __init__(self, first: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int):
         df = np.diff(first)
-        self.first, self.at, self.weight, self.n, self.blocks = first, at, weight, n, -(-n // BLOCK)
+        self.blocks = -(-n // BLOCK)
         top = np.argsort(-df, kind="stable")[: TABLE // max(1, n)]
         self.row = np.full(len(df), -1, np.int32)
         self.row[top] = np.arange(len(top))
@@ -73,6 +73,9 @@ class BlockMax:
             own = at[first[t] : first[t + 1]]
             self.table[own // BLOCK, i, own % BLOCK] = weight[first[t] : first[t + 1]]
         self.most = np.ascontiguousarray(self.table.max(axis=2).T)
+        rare = np.repeat(self.row < 0, df)  # the lists of common words are in the table
+        self.at, self.weight = at[rare], weight[rare]
+        self.first = np.concatenate(([0], np.cumsum(np.where(self.row < 0, df, 0))))
 
     def search(self, some: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
         """Cosines (text x example) in single precision, -1 where a block was not opened; for each text, what its k nearest
