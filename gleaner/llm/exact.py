@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,26 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def _has_places(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a plain scan of files whose format numbers its rows (Parquet does, text formats do not)."""
+    if "_metadata" in docs.columns or docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        return len(docs.select("_metadata.file_path", "_metadata.row_index").columns) == 2
+    except AnalysisException:
+        return False
+
+
 def located(docs: DataFrame, path: str) -> DataFrame:
     """(doc, file, at): every row of ``docs`` as a struct, with the file that holds it and its place there.
 
-    Where ``docs`` is not a plain scan of files, it is written under ``path`` once and read from there.
+    Where ``docs`` is not a plain scan of files with places, it is written under ``path`` once and read from there.
     """
-    if "_metadata" in docs.columns or docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), path)
-        return docs.select("doc", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+    if not _has_places(docs):
+        return staged(docs.select(doc), path).select("doc", *place)
+    return docs.select(doc, *place)
 
 
 def absorb(spark: SparkSession, path: str, schema, state: str, files: int = FILES) -> DataFrame:
