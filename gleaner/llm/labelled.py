@@ -16,8 +16,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each:
     """Up to ``each`` (doc_id, label, text) of either label 0 or 1, and how many rows had that label.
 
     Rows with null label, doc_id or text, or a text of more than ``longest`` characters are not learnt from.  The rows
-    with the least hash of doc_id are taken, whatever the order; a doc_id that two rows label differently is left out.
-    ``each`` and ``longest`` bound what the driver holds.
+    with the least hash of doc_id are taken, whatever the order; a doc_id that two rows label differently is left out, and
+    of the texts of a repeated doc_id the least is learnt from.  ``each`` and ``longest`` bound what the driver holds.
     """
     # clashing names in either table do no harm: only these columns are read
     own = labels.select("doc_id", F.col(label).cast("int").alias("__y")).where("__y in (0, 1)").groupBy("doc_id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z and doc_id is not null").drop("__z")
@@ -25,8 +25,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each:
     many = {r["__y"]: r["count"] for r in ids.groupBy("__y").count().collect()}  # two rows at most
     first = [ids.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * each ids
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(chosen, "doc_id").select("doc_id", "__y", "text")
-    return sorted({(r["doc_id"], r["__y"], r["text"]) for r in rows.collect()}), many
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "__y").agg(F.min("text").alias("text"))  # one row a doc_id, however often it is there
+    return sorted((r["doc_id"], r["__y"], r["text"]) for r in rows.collect()), many
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
