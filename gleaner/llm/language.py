@@ -168,15 +168,18 @@ def fit(docs: DataFrame, learn=None) -> Filters:
     number = docs.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(known)], "lang string, number int")
 
     def set_bits(table: pa.Table) -> pa.Table:
-        at, number = table.column("at")[0].as_py(), table.column("number").to_numpy()
+        at = table.column("at")[0].as_py()
         out = np.zeros((min(RANGE, slots), width), np.uint8)
-        np.bitwise_or.at(out, (table.column("slot").to_numpy() - at * RANGE, number // 8), (1 << (number % 8)).astype(np.uint8))
+        out[table.column("slot").to_numpy() - at * RANGE, table.column("byte").to_numpy()] = table.column("bits").to_numpy()
         return pa.table({"at": [at], "bits": [out.tobytes()]})
 
     # both terms are below the number of slots, so that nothing overflows
     step = F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1)).bitwiseAND(F.lit(slots - 1))
     slot = F.array(*[(F.col("gram").bitwiseAND(F.lit(slots - 1)) + step * i).bitwiseAND(F.lit(slots - 1)) for i in range(HASHES)])
-    marks = grams.join(F.broadcast(number), "lang").select("number", F.explode(slot).alias("slot")).withColumn("at", F.floor(F.col("slot") / RANGE))
+    byte, bit = F.floor(F.col("number") / 8).alias("byte"), F.expr("shiftleft(1, number % 8)").alias("bit")
+    marks = grams.join(F.broadcast(number), "lang").select(byte, bit, F.explode(slot).alias("slot"))
+    # a byte of a slot comes once, so that a task holds ``RANGE`` slots at most, however many n-grams there are
+    marks = marks.groupBy("slot", "byte").agg(F.bit_or("bit").alias("bits")).withColumn("at", F.floor(F.col("slot") / RANGE))
     table = np.zeros((slots, width), np.uint8)
     for r in marks.groupBy("at").applyInArrow(set_bits, "at long, bits binary").collect():  # the filters, whose size is bounded
         part = np.frombuffer(r["bits"], np.uint8).reshape(-1, width)
