@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from gleaner.llm import minhash, toxicity
+from gleaner.llm import exact, labelled, minhash, toxicity
 
 
 def test_every_word_of_an_example_counts():
@@ -47,3 +48,16 @@ def test_near_copies_without_own_ids(spark):
     kept = {r["row"] for r in got.collect()}
     assert got.columns == docs.columns and got.count() == len(kept)
     assert kept - {3, 4} == {0, 2, 6, 7, 8, 9} and len(kept & {3, 4}) == 1
+
+
+def test_copies_in_a_format_without_places(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
+    docs.write.option("header", True).csv(str(tmp_path / "docs"))
+    read = spark.read.option("header", True).schema(docs.schema).csv(str(tmp_path / "docs"))
+    assert sorted(r["doc_id"] for r in exact.drop_copies(read).collect()) == [1, 3]
+
+
+def test_a_repeated_doc_id_gives_one_example(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    own = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    assert labelled.sample(docs, own, "toxic", F.lit(True), 10)[0] == [(1, 1, "a"), (2, 0, "c")]
