@@ -97,13 +97,16 @@ BLOCKS = "shard int, start long, n_docs int, n_tokens long, doc_ids array<long>,
 def _tokenise(content: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, at, shard = word_ids(content.value), 0, TaskContext.get().partitionId()
-        last = np.array([end], ids.dtype).tobytes()
+        width = np.dtype(ids.dtype).itemsize
         for b in batches:
-            coded = [ids(t).tobytes() + last for t in b.column(1).to_pylist()]
-            n = np.array([len(x) for x in coded], np.int64) // np.dtype(ids.dtype).itemsize
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), b.column(0).cast(pa.int64()), pa.array(starts), pa.array(n), pa.array(coded, pa.binary())], names=["shard", "doc_id", "start", "n", "ids"])
+            for lo, hi, data, n in ids.parts(b.column(1)):
+                coded = np.insert(data, np.cumsum(n), end)
+                n = n + 1
+                ends = np.cumsum(n)
+                places = pa.py_buffer(np.append(0, ends * width).astype(np.int32))
+                texts = pa.Array.from_buffers(pa.binary(), hi - lo, [None, places, pa.py_buffer(coded)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, shard, np.int32)), b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(at + ends - n), pa.array(n), texts], names=["shard", "doc_id", "start", "n", "ids"])
+                at += int(ends[-1])
 
     return run
 
