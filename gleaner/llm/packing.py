@@ -72,13 +72,16 @@ def _pieces(content, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names = word_ids(content.value), [x.split()[0] for x in PIECES.split(", ")]
         for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0).cast(pa.int64()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.append(ids(text), ids.dtype(end)).astype("<u4")
-                out += [(doc, k, s, min(size, len(x) - s), zlib.crc32(x[s : s + size].tobytes())) for k, s in enumerate(range(0, len(x), size))]
-            cols = [*zip(*out, strict=True)] or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
-            del out, cols
+            docs = b.column(0).cast(pa.int64()).to_pylist()
+            for lo, hi, data, n in ids.parts(b.column(1)):
+                out: list[tuple] = []
+                whole = np.insert(data, np.cumsum(n), end).astype("<u4")
+                ends = np.cumsum(n + 1).tolist()
+                for doc, first, last in zip(docs[lo:hi], [0, *ends], ends, strict=False):
+                    out += [(doc, k, s - first, min(size, last - s), zlib.crc32(whole[s : min(s + size, last)].tobytes())) for k, s in enumerate(range(first, last, size))]
+                cols = [*zip(*out, strict=True)] or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+                del out, cols
         ids.forget()
         give_back()
 
