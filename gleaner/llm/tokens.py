@@ -72,8 +72,9 @@ class WordIds:
         stem = pc.utf8_lower(found.filter(plain).field("stem")).dictionary_encode()
         rest = found.filter(plain).field("rest").dictionary_encode()
         stems, known = stem.dictionary.to_numpy(zero_copy_only=False).tolist(), self.stems
-        if new := [s for s in stems if s not in known]:
-            self.learn(new)
+        new = [s for s in stems if s not in known]
+        for lo in range(0, len(new), 16_384):  # what the library holds of a word is many times its length
+            self.learn(new[lo : lo + 16_384])
         first = pa.array(map(known.__getitem__, stems), pa.large_binary()).take(stem.indices)
         last = pa.array(map(self.whole, rest.dictionary.to_pylist()), pa.large_binary()).take(rest.indices)
         odd = pa.array(map(self.whole, chunks.filter(~plain).to_pylist()), pa.large_binary())
